@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "poisson_mix", "snapshots")
+MODULES = ("minhash_dedup", "quality_rules", "exact_dedup", "poisson_mix", "snapshots")
 
 
 def _all(name: str) -> dict:
