@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.session import materialize
+
 WINDOW = 8
 LEAST_WORDS = 50
 LEAST_REFERENCE = 1000
@@ -35,10 +37,9 @@ COMMON = {
     "es": "de la que el en y los se del un".split(),
     "fr": "de la le et les des en un du que".split(),
 }
+_BLANK, _SYMBOLS = r"[\x20\x09-\x0D]+", "[#*$%&|<>]+"
 #: Java patterns of the character classes; what none matches is the last class.
-CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"[.,;:!?'\"()-]+", "[#*$%&|<>]+", "[^\\x00-\\x7F]+")
-
-_BLANK = r"[\x20\x09-\x0D]+"
+CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", _BLANK, r"[.,;:!?'\"()-]+", _SYMBOLS, r"[^\x00-\x7F]+")
 
 
 def _let(value: Column, body) -> Column:
@@ -51,9 +52,15 @@ def _repeated(hashes: Column) -> Column:
     return _let(hashes, _repeated_bound)
 
 
+def _doubled(keys: Column, width: int) -> Column:
+    """Keys of windows twice as wide: each with the key ``width`` words on. The last ``width`` keys lack words."""
+    return F.zip_with(keys, F.slice(keys, width + 1, F.size(keys)), lambda a, b: F.xxhash64(a, b))
+
+
 def _repeated_bound(hashes: Column) -> Column:
-    starts = F.sequence(F.lit(0), F.size(hashes) - WINDOW)
-    keys = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i + 1, WINDOW)))
+    # Three doublings make keys of eight words.
+    wide = _let(_doubled(hashes, 1), lambda k2: _let(_doubled(k2, 2), lambda k4: _doubled(k4, 4)))
+    keys = F.slice(wide, 1, F.size(hashes) - WINDOW + 1)
 
     def covered(ks: Column) -> Column:
         pairs = F.array_sort(F.transform(ks, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
@@ -89,39 +96,43 @@ def _counter(common: list[str]):
     return lambda a: F.array(*[(F.size(a) - F.size(F.array_remove(a, w))).cast("long") for w in common])
 
 
+def _common_counts(words: Column, common: list[str]) -> Column:
+    """Counts of the common words, as listed or with a capital."""
+    own = F.filter(words, lambda w: w.isin(*common, *[w.capitalize() for w in common]))
+    return _let(F.transform(own, lambda w: F.lower(w)), _counter(common))
+
+
 def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with the base counts and both histograms (_chars, _common)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = docs.withColumn("_text", text).withColumn("_words", _words(F.col("_text")))
     chars = [(F.length("_text") - F.length(F.regexp_replace("_text", c, ""))).cast("long") for c in CLASSES]
-    lowered = F.split(F.lower("_text"), _BLANK)
-    histograms = F.lit(None).cast("array<long>")
+    found = F.lit(None).cast("array<long>")
     for lang, words in COMMON.items():
-        own = _let(F.col("_lower"), _counter(words))
-        histograms = F.when(F.col(lang_col) == lang, own).otherwise(histograms)
-    out = (
-        first.withColumn("_lower", lowered)
-        .withColumn("_lines", lines)
-        .withColumn("_counts", F.array(*chars))
-        .withColumn("_found", histograms)
-        .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+        found = F.when(F.col(lang_col) == lang, _common_counts(F.col("_words"), words)).otherwise(found)
+    out = docs.withColumn("_text", text).withColumn("_words", _words(F.col("_text")))
+    out = out.withColumns(
+        {
+            "_lines": lines,
+            "_counts": F.array(*chars),
+            "_found": found,
+            "_total": F.length("_text").cast("long"),
+            "n_words": F.size("_words").cast("long"),
+            "n_repeat_words": _repeated(F.transform("_words", lambda w: F.xxhash64(w))),
+        }
     )
-    n_words = F.size("_words").cast("long")
+    rest = lambda a, whole: F.concat(a, F.array(whole - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)))
     out = out.withColumns(
         {
-            "n_words": n_words,
-            "word_chars": F.length(F.regexp_replace("_text", _BLANK, "")).cast("long"),
-            "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]+", ""))).cast("long"),
+            "word_chars": F.col("_total") - F.get("_counts", F.lit(CLASSES.index(_BLANK))),
+            "n_symbols": F.get("_counts", F.lit(CLASSES.index(_SYMBOLS))),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("_hashes")),
+            "_chars": rest(F.col("_counts"), F.col("_total")),
+            "_common": rest(F.col("_found"), F.col("n_words")),
+            "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
         }
     )
-    total = F.length("_text").cast("long")
-    rest = lambda a, whole: F.concat(a, F.array(whole - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)))
-    out = out.withColumn("_chars", rest(F.col("_counts"), total)).withColumn("_common", rest(F.col("_found"), n_words))
-    out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return out.drop("_text", "_words", "_lower", "_lines", "_counts", "_found", "_hashes")
+    return out.drop("_text", "_words", "_lines", "_counts", "_found", "_total")
 
 
 def _known(lang_col: str) -> Column:
@@ -177,11 +188,16 @@ def judge(
     lang_col: str = "lang",
     char_limit: float = CHAR_LIMIT,
     word_limit: float = WORD_LIMIT,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """docs with the base counts, base_failed, char_distance, word_distance and kept."""
+    """docs with the base counts, base_failed, char_distance, word_distance and kept.
+
+    Texts are measured once and written with docs to the shared folder, as both
+    the references and the verdicts read the measures.
+    """
     m = measured(docs, text_col, lang_col)
-    slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    refs = references(measured(slim), "lang")
+    m = materialize(m if keep_text else m.drop(text_col), "quality-measured")
+    refs = references(m, lang_col)
     met = m.withColumn("_own", _known(lang_col)).join(F.broadcast(refs), F.col("_own") == F.col("_ref"), "left")
     enough = F.col("n_words") >= LEAST_WORDS
     large = _sum(F.transform("_ref_common", lambda v: v.cast("double"))) >= LEAST_REFERENCE
@@ -201,12 +217,12 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         F.col(text_col).alias("text"),
         F.col(lang_col).alias("lang"),
     )
-    return judge(packed).where("kept").select("_row.*")
+    return judge(packed, keep_text=False).where("kept").select("_row.*")
 
 
 def op4_divergence(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs.select("doc_id", "text", "lang")).select(
+    return judge(docs.select("doc_id", "text", "lang"), keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
@@ -217,7 +233,7 @@ def _oracle() -> str:
     # RE2 reads [^\x00-\x7F] by code points as Java does.
     counts.append("(length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]+', '', 'g')))")
     common = " ".join(
-        f"WHEN lang = '{k}' THEN [" + ", ".join(f"len(list_filter(lw, lambda x: x = '{w}'))" for w in ws) + "]"
+        f"WHEN lang = '{k}' THEN [" + ", ".join(f"len(list_filter(ws, lambda x: x = '{w}' OR x = '{w.capitalize()}'))" for w in ws) + "]"
         for k, ws in COMMON.items()
     )
     known = ", ".join(f"'{k}'" for k in COMMON)
@@ -232,7 +248,6 @@ def _oracle() -> str:
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
-         regexp_split_to_array(lower(t), '[\x20\x09-\x0D]+') AS lw,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM d
 ),
