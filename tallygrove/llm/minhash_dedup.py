@@ -18,8 +18,9 @@ the Jaccard similarity of their sets is at least 0.75.
 4. Confirmed links give components. Buckets that still hold several components
    go through a block-wise comparison of packed signatures across components
    (never within one, where a further link would change nothing); what passes
-   the estimate is confirmed in the same way. So each pair of a bucket is either
-   compared or already connected: no bucket is capped and no group is expanded.
+   the estimate is confirmed on full sets within the block. So each pair of a
+   bucket is either compared or already connected: no bucket is capped, no
+   group is expanded, and no pairs but links leave a task.
 
 Buckets larger than ``BLOCK`` rows are dealt out as pairs of blocks. The
 estimate's margin is ``MARGIN`` standard deviations, so it loses no real link
@@ -39,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallygrove.operators.cluster import connected_components
 from tallygrove.session import materialize, release
@@ -194,13 +194,9 @@ def _confirmed(batches):
         ok = []
         last, y = None, None
         for sa, sb in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist()):
-            x = np.frombuffer(sa, np.uint64)
             if sb is not last:
                 last, y = sb, np.frombuffer(sb, np.uint64)
-            both = np.concatenate((x, y))
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            ok.append(THRESHOLD[1] * common >= THRESHOLD[0] * (len(x) + len(y) - common))
+            ok.append(_linked(np.frombuffer(sa, np.uint64), y))
         ok = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok)], ["a", "b"])
 
@@ -213,33 +209,58 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return THRESHOLD[1] * common >= THRESHOLD[0] * (len(x) + len(y) - common)
+
+
 def _across(batches):
-    """Pairs of different components within each (bucket, block, block), from packed signatures. Input sorted by these."""
+    """Confirmed links between components within each (bucket, block, block). Input sorted by these.
+
+    A pair is looked at in the first bucket that both are in, unless links found
+    in this block connect it already; so links are at most the rows of a block.
+    """
     least, width = least_matches(), HASHES * BITS // 64
     key, held = None, []
 
-    def pairs(table: pa.Table):
+    def links(table: pa.Table):
         ids = table["id"].to_numpy()
         if len(ids) < 2:
             return None
-        comp, n, blk = (table[c].to_numpy() for c in ("comp", "n_shingles", "blk"))
+        root, n, blk = (table[c].to_numpy().copy() for c in ("comp", "n_shingles", "blk"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64).reshape(-1, width)
-        same = table["i"][0].as_py() == table["j"][0].as_py()
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        sets = table["shingles"]
+        here, same = key[0], key[1] == key[2]
         found = []
         for k in range(len(ids) - 1):
             rest = slice(k + 1, None)
-            ok = comp[rest] != comp[k]
+            small, large = np.minimum(n[rest], n[k]), np.maximum(n[rest], n[k])
+            ok = (root[rest] != root[k]) & (THRESHOLD[1] * small >= THRESHOLD[0] * large)
             if not same:
                 ok &= blk[rest] != blk[k]
-            small, large = np.minimum(n[rest], n[k]), np.maximum(n[rest], n[k])
-            ok &= THRESHOLD[1] * small >= THRESHOLD[0] * large
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[agreements(sig[rest][at], sig[k]) >= least] + k + 1
-                found.append(np.stack((np.full(len(at), ids[k]), ids[at])))
+            at = np.flatnonzero(ok) + k + 1
+            if not len(at):
+                continue
+            alike = agreements(sig[at], sig[k])
+            at, alike = at[alike >= least], alike[alike >= least]
+            if not len(at):
+                continue
+            common = bands[at] == bands[k]
+            at, alike = (v[bands[k][common.argmax(axis=1)] == here] for v in (at, alike))
+            x = None
+            for c in at[np.argsort(-alike, kind="stable")].tolist():
+                if root[c] == root[k]:
+                    continue
+                x = np.frombuffer(sets[k].as_py(), np.uint64) if x is None else x
+                if _linked(x, np.frombuffer(sets[c].as_py(), np.uint64)):
+                    found.append((ids[k], ids[c]))
+                    root[root == root[c]] = root[k]
         if not found:
             return None
-        both = np.concatenate(found, axis=1)
+        both = np.array(found, np.int64).T
         return pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
 
     for batch in batches:
@@ -250,11 +271,11 @@ def _across(batches):
         for lo, hi in zip(cuts, cuts[1:]):
             here = tuple(k[:, lo].tolist())
             if here != key:
-                if held and (out := pairs(pa.Table.from_batches(held))) is not None:
+                if held and (out := links(pa.Table.from_batches(held))) is not None:
                     yield out
                 key, held = here, []
             held.append(batch.slice(lo, hi - lo))
-    if held and (out := pairs(pa.Table.from_batches(held))) is not None:
+    if held and (out := links(pa.Table.from_batches(held))) is not None:
         yield out
 
 
@@ -297,22 +318,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     open_rows = (
         labelled.join(open_keys, "key")
-        .join(nodes.select("id", "n_shingles", "sig"), "id")
+        .join(nodes.select("id", "n_shingles", "sig", "bands"), "id")
+        .join(sets, "id")
         .withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("id", "key", "comp", "n_shingles", "sig", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+        .select("id", "key", "comp", "n_shingles", "sig", "bands", "shingles", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = open_rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = materialize(dealt.mapInArrow(_across, "a long, b long").distinct(), "minhash-across")
-    extra = materialize(_links(more, sets), "minhash-extra")
+    extra = materialize(dealt.mapInArrow(_across, "a long, b long"), "minhash-across")
     final = materialize(connected_components(links.unionByName(extra)), "minhash-final")
-    for done in (nodes, buckets, star, wanted, sets, links, first, more, extra):
+    for done in (nodes, buckets, star, wanted, sets, links, first, extra):
         release(done)
 
+    # Written, so that the lookup below has an exchange on either side and AQE may split a hot text.
     labels = reps.join(final, F.col("rep") == F.col("id"), "left").select(
         F.col("words").alias("w"), F.coalesce("component", "rep").alias("component_id")
     )
+    labels = materialize(labels, "minhash-labels")
     out = rows.select("id", "n_shingles", "words").join(labels, F.col("words") == F.col("w"), "left")
     component = F.when(F.col("words").isNull(), F.col("id")).otherwise(F.col("component_id"))
     component = F.when(F.col("id").isNotNull(), component)
@@ -336,5 +359,3 @@ def op1_minhash(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_minhash": op1_minhash}
 ORACLES: dict = {}
-
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
