@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("minhash_dedup", "pii", "quality_rules", "exact_dedup", "token_store", "bpe_prefix", "poisson_mix", "snapshots")
+MODULES = (
+    "minhash_dedup", "secrets", "pii", "quality_rules", "exact_dedup", "token_store", "bpe_prefix", "poisson_mix", "snapshots",
+)
 
 
 def _all(name: str) -> dict:

@@ -1,0 +1,28 @@
+from pyspark.sql import functions as F
+
+from tallygrove.llm import secrets as S
+from tests.conftest import SF
+
+
+def test_held_out_accuracy(spark):
+    model = S.fit(S.labelled_findings(spark))
+    held = model.transform(S.features(S.labelled_findings(spark, 1500, seed=99)))
+    assert held.select(F.avg((F.col("_prediction") == F.col("is_secret")).cast("double"))).first()[0] > 0.97
+
+
+def test_documents(spark):
+    found = S.op2_secret_forest(spark, SF).collect()
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(text[r.doc_id][r.start : r.end] == r.candidate for r in found)
+    hits = [r for r in found if r.is_secret]
+    planted = [r for r in found if text[r.doc_id][: r.start].endswith(('token = "', "password=")) or r.candidate.startswith("AKIA")]
+    assert planted and all(r.is_secret for r in planted)
+    assert sum(r.candidate.isdigit() for r in hits) == 0
+
+
+def test_nulls_and_empty(spark):
+    rows = [(1, None, None), (2, "", "a"), (3, "commit 4b825dc642cb6eb9a060e54bf8d69288fbee4904 done", None), (3, 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = S.scan(df).orderBy("start").collect()
+    assert [(r.doc_id, r.is_secret) for r in got] == [(3, False), (3, True)]
+    assert S.scan(df.limit(0)).count() == 0
