@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 MODULES = (
-    "minhash_dedup", "secrets", "pii", "quality_rules", "exact_dedup", "token_store", "bpe_prefix", "poisson_mix", "snapshots",
+    "minhash_dedup", "secrets", "pii", "quality_rules", "poisson_mix",
+    "suffix_tree_lm", "exact_dedup", "token_store", "bpe_prefix", "snapshots",
 )
 
 
@@ -17,8 +20,9 @@ def _all(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    return _all("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return _all("ORACLES")
+    sql = corpus_pipeline.ORACLE_SQL
+    return _all("ORACLES") | ({"pipeline": sql} if sql else {})
