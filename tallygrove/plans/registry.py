@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal",)
+FAMILIES = ("temporal", "metrics")
 
 
 def _modules():

@@ -1,0 +1,17 @@
+"""Queries whose SQL both engines read."""
+
+from __future__ import annotations
+
+import re
+
+from tallygrove.session import TABLES, table
+
+
+def both(sql: str):
+    """(query, oracle) of one SQL text that names tables in braces."""
+    used = [t for t in TABLES if "{" + t + "}" in sql]
+
+    def query(spark, sf_dir):
+        return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+
+    return query, re.sub(r"\{(\w+)\}", r"\1", sql)
