@@ -14,7 +14,7 @@ that each rule expands to, uint32) and symbols (uint16). Symbols below
 ``base`` are ids; base + i is rule i. ``decode_range`` finds a document's
 symbols from the expansion lengths and expands only those.
 
-Encoding works on the distinct pieces between spaces, which the vocabulary's
+Encoding works on the distinct pieces between blanks, which the vocabulary's
 pre-tokenizer never joins; they are encoded by the library in bulk.
 
 Defined results: a null text is a document of one end id; null doc ids come
@@ -38,8 +38,8 @@ from tallygrove.session import shared_dir
 
 END = 2
 BLOCK_IDS = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 4000, 6
-CACHED = 600_000
+ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 5000, 6
+CACHED = 1_200_000
 
 BLOCKS = (
     "part int, block int, base int, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
@@ -60,34 +60,63 @@ class PieceEncoder:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = next(iter(self.added.items()), (None, None))
+        #: Every added token holds it, so a piece without it holds none.
+        self.sign = os.path.commonprefix(list(self.added)) if self.added else ""
+        self.ends_word = np.zeros(self.size, bool)
+        self.ends_word[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHED:
-            self.known = {"": b""}
+    def _cut(self, group: list[str], raw: bytes, last: np.ndarray, gap: int) -> bool:
+        """Store the ids of a group from their joined ids; last: places where a piece ends, gap: ids between pieces."""
+        start = 0
+        if len(last) != len(group):
+            return False
+        for piece, end in zip(group, (4 * last).tolist()):
+            self.known[piece] = raw[start:end]
+            start = end + 4 * gap
+        return True
+
+    def _ask(self, pieces: list[str]) -> None:
+        """Ids of pieces from the library, many in one text."""
         encode = self.library.encode_batch_fast
-        plain = [p for p in pieces if self.mark is not None and not any(a in p for a in self.added)]
-        others = pieces if self.mark is None else [p for p in pieces if any(a in p for a in self.added)]
-        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        words = [p for p in pieces if p.isalpha()]
+        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        plain = [p for p in pieces if not p.isalpha()]
+        # Letters alone are one pre-token, whose last id ends a word.
+        for group, e in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False) if groups else []):
+            ids = np.array(e.ids, "<u4")
+            if not self._cut(group, ids.tobytes(), np.flatnonzero(self.ends_word[ids]) + 1, 0):
+                plain += group
+        others = plain if self.mark is None else [p for p in plain if self.sign in p]
+        plain = [] if self.mark is None else [p for p in plain if self.sign not in p]
+        # Elsewhere an added token stands between the pieces.
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         for group, e in zip(groups, encode([self.mark.join(g) for g in groups], add_special_tokens=False) if groups else []):
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            ends = [*cuts.tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(group, ends):
-                self.known[piece] = raw[4 * start : 4 * end]
-                start = end + 1
+            self._cut(group, ids.tobytes(), np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)
         for piece, e in zip(others, encode(others, add_special_tokens=False) if others else []):
             self.known[piece] = np.array(e.ids, "<u4").tobytes()
 
+    def _learn(self, pieces: set[str]) -> None:
+        # A mark after a letter is a pre-token of its own, and case is dropped; so few bare words need the library.
+        bare = {}
+        for p in pieces:
+            word, tail = (p[:-1], p[-1]) if p[-1] in ",." and p[-2:-1].isalpha() else (p, "")
+            bare[p] = (word.lower() if word.isascii() else word, tail)
+        known = self.known
+        wanted = {w for w, _ in bare.values()} | {t for _, t in bare.values()}
+        self._ask([w for w in wanted if w not in known])
+        for p, (word, tail) in bare.items():
+            known[p] = known[word] + known[tail]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        split = [(t or "").split(" ") for t in texts]
-        fresh = {p for pieces in split for p in pieces if p not in self.known}
+        if len(self.known) > CACHED:
+            self.known = {"": b""}
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        fresh = set().union(*split) - self.known.keys()
         if fresh:
-            self._learn(list(fresh))
-            if any(p not in self.known for pieces in split for p in pieces):  # forgotten meanwhile
-                self._learn(list({p for pieces in split for p in pieces} - self.known.keys()))
+            self._learn(fresh)
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in split]
 
@@ -117,8 +146,8 @@ def compress(ids: np.ndarray, base: int, end: int = END) -> tuple[np.ndarray, np
         if not len(good):
             break
         chosen = ordered[starts[good]]
-        maybe = np.zeros(1 << 22, bool)
-        spread = lambda c: (c * np.uint32(2654435761)) >> np.uint32(10)
+        maybe = np.zeros(1 << 20, bool)
+        spread = lambda c: (c * np.uint32(2654435761)) >> np.uint32(12)
         maybe[spread(chosen)] = True
         at = np.flatnonzero(maybe[spread(code)] & ok)
         rank = np.searchsorted(chosen, code[at])
