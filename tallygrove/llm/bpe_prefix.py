@@ -27,10 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.llm.arrow import slices
+
 #: Fixed value: the pre-token pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -196,25 +197,13 @@ def load(path: str) -> PrefixBPE:
     return PrefixBPE(path)
 
 
-def _slices(batch, column: str, most: int = 8 << 20):
-    """Slices of a batch whose column holds about ``most`` bytes, as results are larger than their rows."""
-    start, held = 0, 0
-    for i, n in enumerate(pc.binary_length(batch[column]).to_pylist()):
-        held += n or 0
-        if held > most:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids) for each row of docs."""
 
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            for part in _slices(batch, "_text"):
+            for part in slices(batch, "_text"):
                 ids = [bpe.encode(t) for t in part["_text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part["_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -233,7 +222,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            for part in _slices(batch, ids_col):
+            for part in slices(batch, ids_col):
                 texts = pa.array([bpe.decode(x) for x in part[ids_col].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*names, out_col])
 
