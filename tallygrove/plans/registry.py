@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal", "metrics")
+FAMILIES = ("temporal", "metrics", "text")
 
 
 def _modules():
