@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -52,15 +54,43 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for held in _SCOPES:
+        held.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(held: list[str]):
+    """Note in ``held`` the folders that materialize() writes meanwhile."""
+    _SCOPES.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES.remove(held)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_work_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, path)
+
+
+#: Rows of a few numbers up to which a table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, written once and marked for broadcast if it was counted to have at most BROADCAST_ROWS rows."""
+    held = materialize(df, "side")
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
