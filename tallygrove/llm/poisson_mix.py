@@ -15,11 +15,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.session import materialize
+
 #: Hex digits of the digest that make the uniform number: 52 bits, exact in a double.
 DIGITS = 13
+#: Sources up to which the rates, of some hundred bytes each, are broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -82,14 +86,15 @@ def mix(
 ) -> DataFrame:
     """Rows of docs repeated to the target weights: all columns, _copy from 1, _order the shuffle key.
 
-    Rates have one row for each source; Spark broadcasts them only if their
-    measured size is under its threshold, and else joins by source with hot
-    sources split. The global shuffle is a range partitioning by a uniform hash,
+    Rates have one row for each source; they are broadcast if counted to be at
+    most BROADCAST_SOURCES, and else joined by source with hot sources split by
+    AQE. The global shuffle is a range partitioning by a uniform hash,
     which no source can skew.
     """
-    rates = source_rates(docs, weights, source_col, tempering, epochs).select(
-        "_source", _distribution(F.col("rate")).alias("_cdf")
-    )
+    rates = materialize(source_rates(docs, weights, source_col, tempering, epochs), "mix-rates")
+    few = rates.count() <= BROADCAST_SOURCES
+    rates = rates.select("_source", _distribution(F.col("rate")).alias("_cdf"))
+    rates = F.broadcast(rates) if few else rates
     joined = docs.join(rates, docs[source_col].eqNullSafe(rates["_source"]))
     u = uniform(F.lit(seed), F.col(id_col))
     counted = joined.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= u)))
