@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.session import BROADCAST_ROWS, materialize
+
 #: Runs of these six characters become one space.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -62,15 +64,28 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 256) -> DataFrame:
-    """The rows of docs that stay, with all their columns. The semi-join and the removal of repeated rows share one shuffle."""
-    groups = text_groups(docs, id_col, text_col, salts).select(
-        F.col("_digest").alias("_won"), F.col("keep_id").alias("_keep")
-    )
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    left = keyed.join(
-        groups, keyed[id_col].eqNullSafe(groups["_keep"]) & (keyed["_digest"] == groups["_won"]), "left_semi"
-    )
-    return left.dropDuplicates([id_col, "_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all their columns.
+
+    Only ids and digests of dropped rows, and of rows that repeat an id with an
+    equal text, are joined with docs; they are broadcast if counted to be few.
+    """
+    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
+    report = duplicate_report(docs, id_col, text_col, salts)
+    slim = report.select(F.col(id_col).alias("_i"), F.unhex("text_sha256").alias("_d"), "kept")
+    per = slim.groupBy("_i", "_d").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
+    odd = materialize(per.where("not _kept or _n > 1"), "exact-odd")
+    gone, repeated = odd.where("not _kept"), odd.where("_kept")
+    keyed = docs.withColumn("_digest", digest)
+    same = lambda side: keyed[id_col].eqNullSafe(side["_i"]) & (keyed["_digest"] == side["_d"])
+    n_gone, n_repeated = gone.count(), repeated.count()
+    side = F.broadcast(gone) if n_gone <= BROADCAST_ROWS else gone
+    left = keyed.join(side, same(side), "left_anti") if n_gone else keyed
+    if n_repeated:
+        side = F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated
+        again = left.join(side, left[id_col].eqNullSafe(side["_i"]) & (left["_digest"] == side["_d"]), "left_semi")
+        left = left.join(side, left[id_col].eqNullSafe(side["_i"]) & (left["_digest"] == side["_d"]), "left_anti")
+        left = left.unionByName(again.dropDuplicates([id_col, "_digest"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.operators.cluster import connected_components
-from tallygrove.session import materialize, release
+from tallygrove.session import BROADCAST_ROWS, materialize, release, small_side
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -51,8 +51,6 @@ HASHES, BANDS, BITS = 128, 32, 4
 MARGIN = 5.0
 #: Rows of a bucket compared at once.
 BLOCK = 1024
-#: Ids of candidates up to which they are broadcast (8 bytes each), else the join shuffles.
-BROADCAST_IDS = 500_000
 
 _RNG = np.random.default_rng(20240607)
 _MUL = (_RNG.integers(0, 2**32, HASHES, dtype=np.uint32) | 1)[:, None]
@@ -304,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = materialize(buckets.select("id").distinct(), "minhash-wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     sets = materialize(
         texts.join(chosen, "id", "left_semi").mapInArrow(_shingles, "id long, shingles binary"), "minhash-sets"
     )
@@ -350,6 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which each component keeps its least id; rows with a null id stay."""
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    gone = small_side(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
