@@ -31,15 +31,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrove.llm.arrow import slices
 from tallygrove.session import shared_dir
 
 END = 2
 BLOCK_IDS = 1 << 20
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 5000, 6
-CACHED = 1_200_000
+CACHED = 1_000_000
+#: A Latin letter whose lower case is a letter, then a mark.
+LETTER_MARK = r"[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{024F}][,.]$"
 
 BLOCKS = (
     "part int, block int, base int, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
@@ -97,28 +101,35 @@ class PieceEncoder:
         for piece, e in zip(others, encode(others, add_special_tokens=False) if others else []):
             self.known[piece] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        # A mark after a letter is a pre-token of its own, and case is dropped; so few bare words need the library.
-        bare = {}
-        for p in pieces:
-            word, tail = (p[:-1], p[-1]) if p[-1] in ",." and p[-2:-1].isalpha() else (p, "")
-            bare[p] = (word.lower() if word.isascii() else word, tail)
-        known = self.known
-        wanted = {w for w, _ in bare.values()} | {t for _, t in bare.values()}
-        self._ask([w for w in wanted if w not in known])
-        for p, (word, tail) in bare.items():
-            known[p] = known[word] + known[tail]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
+    def _pieces(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces. A mark after a letter is a pre-token of its own and case is dropped, so few bare words need the library."""
+        marked = pc.match_substring_regex(pieces, LETTER_MARK)
+        bare = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        tails = (pc.if_else(marked, pc.if_else(pc.ends_with(pieces, ","), 1, 2), 0)).to_numpy(zero_copy_only=False).tolist()
+        words = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare).dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHED:
             self.known = {"": b""}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*split) - self.known.keys()
-        if fresh:
-            self._learn(fresh)
-        known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in split]
+        known = self.known
+        self._ask([w for w in [*names, ",", "."] if w not in known])
+        ids, tail = [known[w] for w in names], [b"", known[","], known["."]]
+        return [ids[i] + tail[t] for i, t in zip(words.indices.to_numpy(zero_copy_only=False).tolist(), tails)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        pieces = pc.list_flatten(lists).dictionary_encode()
+        coded = self._pieces(pieces.dictionary)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        which = pieces.indices.to_numpy(zero_copy_only=False)
+        own = sizes[which]
+        ends = np.cumsum(own)
+        out = flat[np.repeat(first[which] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return out, np.diff(np.concatenate(([0], ends))[bounds])
 
 
 @lru_cache(maxsize=2)
@@ -208,13 +219,13 @@ def decode_range(block: dict, start: int, n: int) -> np.ndarray:
     return expand(symbols[lo:hi], rules, block["rounds"], block["base"])[skip : skip + n]
 
 
-def _block(part: int, block: int, base: int, doc_ids: list, parts: list[bytes]) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(parts), "<u4")
+def _block(part: int, block: int, base: int, doc_ids: list, lengths: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+    ids = np.concatenate(parts)
     if base + 1 > 65536:
         raise ValueError("ids don't fit 16 bits")
     symbols, rules, rounds = compress(ids, base)
     values = [
-        part, block, base, len(ids), doc_ids, [len(p) // 4 for p in parts],
+        part, block, base, len(ids), doc_ids, lengths,
         rules.tobytes(), rounds, expansion_lengths(rules, rounds, base).astype("<u4").tobytes(), symbols.tobytes(),
     ]
     types = [
@@ -231,25 +242,32 @@ def write_shards(
     """Encode docs and write the shard table; returns its folder."""
     spark = docs.sparkSession
     out_dir = out_dir or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    end = np.array([END], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, block, base = TaskContext.get().partitionId(), 0, encoder(path).size
-        doc_ids, parts, held = [], [], 0
+        doc_ids, lengths, parts, held = [], [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                piece = batch.slice(lo, 512)
-                for i, ids in zip(piece["_id"].to_pylist(), encoder(path).encode(piece["_text"].to_pylist())):
-                    doc_ids.append(i)
-                    parts.append(ids + end)
-                    held += len(ids) // 4 + 1
+            for piece in slices(batch, "_text", 8 << 20):
+                ids, sizes = encoder(path).encode(piece["_text"])
+                ends = np.cumsum(sizes)
+                ids, sizes = np.insert(ids, ends, END), sizes + 1
+                ends, start, names = np.cumsum(sizes), 0, piece["_id"].to_pylist()
+                lo = 0
+                # A block ends with the document that fills it.
+                while lo < len(names):
+                    hi = min(int(np.searchsorted(ends, start + BLOCK_IDS - held)) + 1, len(names))
+                    doc_ids += names[lo:hi]
+                    lengths += sizes[lo:hi].tolist()
+                    parts.append(ids[start : ends[hi - 1]])
+                    held += len(parts[-1])
+                    start, lo = int(ends[hi - 1]), hi
                     if held >= BLOCK_IDS:
-                        yield _block(part, block, base, doc_ids, parts)
-                        block, doc_ids, parts, held = block + 1, [], [], 0
+                        yield _block(part, block, base, doc_ids, lengths, parts)
+                        block, doc_ids, lengths, parts, held = block + 1, [], [], [], 0
         if doc_ids:
-            yield _block(part, block, base, doc_ids, parts)
+            yield _block(part, block, base, doc_ids, lengths, parts)
 
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
