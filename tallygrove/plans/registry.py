@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal", "metrics", "text", "routing")
+FAMILIES = ("temporal", "metrics", "text", "routing", "structure")
 
 
 def _modules():
