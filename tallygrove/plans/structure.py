@@ -99,11 +99,11 @@ def _stream(spark, sf):
 
 def stream_replay(spark, sf):
     """Daily counts by type from a stream run to its end; days still open behind the watermark aren't given."""
-    return S.replay(spark, _stream(spark, sf), S.windowed_counts)
+    return S.replay(spark, _stream(spark, sf), S.windowed_counts).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 STREAM = """WITH e AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL)
- SELECT day::TIMESTAMPTZ AS day, event_type, n, total FROM e WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)"""
+ SELECT day, event_type, n, total FROM e WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)"""
 
 
 def stream_latest(spark, sf):
