@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -86,6 +87,12 @@ def release(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished phases; Spark keeps them until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of a few numbers up to which a table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
