@@ -1,6 +1,6 @@
-"""Near-duplicate detection by b-bit MinHash.
+r"""Near-duplicate detection by b-bit MinHash.
 
-Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a document's
+Words are `[^\x20\x09-\x0D]+` of the text with A-Z lower-cased; a document's
 set is its distinct five-word shingles (a shorter text is one shingle, a text
 without words has none and links with nothing). Two documents are linked when
 the Jaccard similarity of their sets is at least 0.75.
@@ -357,4 +357,23 @@ def op1_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_minhash": op1_minhash}
-ORACLES: dict = {}
+
+#: All pairs that share a shingle, and everything reachable: for small tables only.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.id)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id, w.doc_id = min(r.c) AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.id = w.doc_id GROUP BY w.doc_id
+"""
+ORACLES = {"op1_minhash": ORACLE}
