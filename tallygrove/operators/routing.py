@@ -131,3 +131,52 @@ def exclude_overlap(rows: DataFrame, history: DataFrame, keys: list[str]) -> Dat
     for k in keys:
         out = out.join(history.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
     return out.select(*rows.columns)
+
+
+def exclude_sequential(rows: DataFrame, id_col: str, keys: list[str], history: dict[str, DataFrame], max_rounds: int = 1000) -> DataFrame:
+    """Rows kept when going by id and dropping each that shares a key with history or with a row kept before.
+
+    A kept row blocks later ones, a dropped row doesn't. In each round the rows
+    that are first on all their keys are kept, what they block is dropped, and
+    the rest go on; so hot keys shrink to one row in their first round.
+    """
+    from tallygrove.session import materialize, release
+
+    left = rows
+    for k, h in history.items():
+        left = left.join(h.select(F.col(k).alias("_h")).where("_h is not null").distinct(), F.col(k) == F.col("_h"), "left_anti")
+    packed = left.select(F.col(id_col), F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + "|"), F.col(k).cast("string"))) for k in keys])).alias("_k"))
+    free = packed.where(F.size("_k") == 0).select(id_col)
+    now, kept = materialize(packed.where(F.size("_k") > 0), "exclude"), None
+    for _ in range(max_rounds):
+        each = now.select(id_col, F.explode("_k").alias("_x"))
+        first = each.groupBy("_x").agg(F.min(id_col).alias("_f"))
+        lead = each.join(first, "_x").groupBy(id_col).agg(F.bool_and(F.col(id_col) == F.col("_f")).alias("_ok")).where("_ok").select(id_col)
+        lead = materialize(lead, "exclude")
+        if not lead.limit(1).count():
+            break
+        kept = lead if kept is None else kept.unionByName(lead)
+        blocked = each.join(lead, id_col, "left_semi").select("_x").distinct()
+        hit = each.join(blocked, "_x", "left_semi").select(id_col).distinct()
+        after = materialize(now.join(hit, id_col, "left_anti"), "exclude")
+        release(now)
+        now = after
+    else:
+        raise RuntimeError("not settled")
+    ids = free if kept is None else free.unionByName(kept)
+    return rows.join(ids, id_col, "left_semi")
+
+
+def constrained_thresholds(df: DataFrame, group: str, confidence: str, correct: str, steps: int = 61, least_accuracy: float = 0.6, least_rows: int = 1) -> DataFrame:
+    """Per group the threshold of a grid with the greatest coverage that holds the accuracy on enough rows."""
+    cell = F.least(F.floor(F.col(confidence) * (steps - 1)), F.lit(steps - 1)).cast("int")
+    cells = df.groupBy(group, cell.alias("_c")).agg(F.count("*").alias("_n"), F.sum(F.col(correct).cast("long")).alias("_k"))
+    # At most ``steps`` rows of a group.
+    w = Window.partitionBy(group).orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(group)
+    c = cells.select(
+        group, (F.col("_c") / (steps - 1)).alias("threshold"), F.sum("_n").over(w).alias("answered"), F.sum("_k").over(w).alias("_good"), F.sum("_n").over(whole).alias("_t")
+    )
+    ok = c.where((F.col("_good") >= least_accuracy * F.col("answered")) & (F.col("answered") >= least_rows))
+    best = ok.groupBy(group).agg(F.max(F.struct("answered", (-F.col("threshold")).alias("t"), "_good", "_t")).alias("b"))
+    return best.select(group, (-F.col("b.t")).alias("threshold"), (F.col("b.answered") / F.col("b._t")).alias("coverage"), (F.col("b._good") / F.col("b.answered")).alias("accuracy"))

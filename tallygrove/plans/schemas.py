@@ -90,4 +90,29 @@ SCHEMAS = {
     "priority_fit": "actual int, said int, n bigint",
     "ltr_fit": "query_id bigint, item_id bigint, rel int, new_rank int",
     "calibrated_scores": "bin bigint, n bigint, isotonic double, platt double, rate double",
+    "alias_resolution": "c_custkey bigint, final bigint",
+    "snapshot_labels": "event_id bigint, snapshot bigint",
+    "cluster_collapse": "doc_id bigint, representative bigint, size bigint",
+    "content_digests": "lang string, digest string, n bigint",
+    "history_prefilter": "author bigint, n bigint, kept boolean",
+    "repository_holdout": "source string, n bigint, part string",
+    "representative_tickets": "lang string, doc_id bigint, place int",
+    "rank_agreement": "query_id bigint, item_id bigint, agreement double",
+    "score_margins": "query_id bigint, best double, second double, margin double",
+    "related_topk_stats": "query_id bigint, mean_1 double, least_1 int, most_1 int, median_1 double, mean_3 double, least_3 int, most_3 int, median_3 double, mean_5 double, least_5 int, most_5 int, median_5 double, mean_10 double, least_10 int, most_10 int, median_10 double",
+    "owner_bm25": "item_id bigint, source string, owner_score double, place int",
+    "owner_keywords": "source string, token string, weight double, place int",
+    "char_ngram_topk": "item_id bigint, conv_id bigint, score double, rank int",
+    "ticket_sufficiency": "missing string, usable boolean, n bigint",
+    "event_properties": "event_type string, k_sum bigint, bad bigint, n bigint",
+    "operating_points": "fpr_at_80 double, fpr_at_95 double, recall_at_5 double, recall_at_20 double",
+    "baseline_comparison": "baseline string, n bigint, hits bigint",
+    "pool_decomposition": "state string, n bigint",
+    "leave_owner_out": "fold int, hidden_rows bigint, hidden_owners bigint, history_rows bigint",
+    "gold_alignment": "quality int, gold bigint, answered bigint, accuracy double",
+    "relevant_sets": "vec_id bigint, head bigint, n_relevant bigint",
+    "run_status": "status string, runs bigint, mean_cost double, most double",
+    "error_taxonomy": "kind string, n bigint",
+    "field_overlap": "rows_ bigint, ids bigint, contents bigint, sources bigint, empty bigint",
+    "frequency_buckets": "bucket string, authors bigint, reports bigint",
 }
