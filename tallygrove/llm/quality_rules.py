@@ -6,11 +6,12 @@ document's histogram of character classes, and of common words, with that of
 its language, by the Jensen-Shannon distance (base 2, so between 0 and 1).
 
 The language references are the sums of both histograms over all documents of
-a language that pass the base rules; a document of a language not in ``COMMON``
-(or null) is compared with the sum over all. Guards: a document of fewer than
-``LEAST_WORDS`` words or a language with fewer than ``LEAST_REFERENCE`` words
-isn't judged by divergence. A document is kept if it passes the base rules and
-no judged distance is above its limit.
+a language that pass the base rules, and over all of them. Characters are held
+against the nearest reference, as documents carry wrong languages too; words
+against the document's own language, unless it isn't in ``COMMON``. Guards: a
+document of fewer than ``LEAST_WORDS`` words, or a language with fewer than
+``LEAST_REFERENCE`` words, isn't judged by divergence. A document is kept if it
+passes the base rules and no judged distance is above its limit.
 
 Defined results: a null text has no words and fails the base rules; rows are
 judged one by one, so repeated rows repeat their verdict; an empty table gives
@@ -198,16 +199,20 @@ def judge(
     m = measured(docs, text_col, lang_col)
     m = materialize(m if keep_text else m.drop(text_col), "quality-measured")
     refs = references(m, lang_col)
-    met = m.withColumn("_own", _known(lang_col)).join(F.broadcast(refs), F.col("_own") == F.col("_ref"), "left")
+    # One row of at most one array for each language.
+    nearest = refs.agg(F.collect_list("_ref_chars").alias("_all_chars"))
+    own = refs.select("_ref", "_ref_common")
+    met = m.withColumn("_own", _known(lang_col)).join(F.broadcast(own), F.col("_own") == F.col("_ref"), "left")
+    met = met.crossJoin(F.broadcast(nearest))
     enough = F.col("n_words") >= LEAST_WORDS
     large = _sum(F.transform("_ref_common", lambda v: v.cast("double"))) >= LEAST_REFERENCE
-    met = met.withColumn("char_distance", F.when(enough, distance(F.col("_chars"), F.col("_ref_chars"))))
+    met = met.withColumn("char_distance", F.when(enough, F.array_min(F.transform("_all_chars", lambda r: distance(F.col("_chars"), r)))))
     met = met.withColumn("word_distance", F.when(enough & large, distance(F.col("_common"), F.col("_ref_common"))))
     far = F.coalesce(F.col("char_distance") > char_limit, F.lit(False)) | F.coalesce(
         F.col("word_distance") > word_limit, F.lit(False)
     )
     met = met.withColumn("kept", ~F.col("base_failed") & ~far)
-    return met.drop("_chars", "_common", "_own", "_ref", "_ref_chars", "_ref_common")
+    return met.drop("_chars", "_common", "_own", "_ref", "_all_chars", "_ref_common")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -283,7 +288,7 @@ f AS (
   SELECT '', [{", ".join(f"sum(rc[{i + 1}])" for i in range(len(CLASSES) + 1))}], NULL FROM e
 ),
 j AS (
-  SELECT m.*, CASE WHEN n_words >= {LEAST_WORDS} THEN {js("ch", "rc")} END AS cd,
+  SELECT m.*, CASE WHEN n_words >= {LEAST_WORDS} THEN list_min(list_transform((SELECT list(rc) FROM f), lambda r: {js("ch", "r")})) END AS cd,
          CASE WHEN n_words >= {LEAST_WORDS} AND list_sum(rw) >= {LEAST_REFERENCE} THEN {js("wo", "rw")} END AS wd
   FROM m LEFT JOIN f USING (ref)
 )

@@ -49,7 +49,7 @@ def quality(docs):
     for i, (failed, n, lang, chars, common) in rows.items():
         far = False
         if not failed and n >= Q.LEAST_WORDS:
-            far = lang in refs and distance(chars, refs[lang]) > Q.CHAR_LIMIT
+            far = bool(refs) and min(distance(chars, r) for r in refs.values()) > Q.CHAR_LIMIT
             if common and lang in words and words[lang].sum() >= Q.LEAST_REFERENCE and sum(common):
                 far |= distance(common, words[lang]) > Q.WORD_LIMIT
         if not failed and not far:
