@@ -127,3 +127,21 @@ def coverage_selection(candidates: DataFrame, query: str, item: str, file: str,
     c = candidates.withColumn("_n", in_file).where(F.col("_n") <= per_file)
     place = F.row_number().over(Window.partitionBy(query).orderBy("_n", F.desc(score), item))
     return c.withColumn("place", place).where(F.col("place") <= size).drop("_n")
+
+
+def match_symbols(gold: DataFrame, said: DataFrame, query: str) -> DataFrame:
+    """Gold symbols with how a prediction meets them: 'id', 'exact' (file, kind, name), 'relaxed' (name a suffix of the other), or null.
+
+    Both sides have symbol_id, file, kind and name. Joined on the last part of the name, the best way wins.
+    """
+    leaf = lambda c: F.element_at(F.split(F.col(c), r"[.:/]+"), -1)
+    g = gold.select(query, F.col("symbol_id").alias("g_id"), F.col("file").alias("g_file"), F.col("kind").alias("g_kind"), F.col("name").alias("g_name"), leaf("name").alias("_leaf"))
+    p = said.select(query, F.col("symbol_id").alias("p_id"), F.col("file").alias("p_file"), F.col("kind").alias("p_kind"), F.col("name").alias("p_name"), leaf("name").alias("_leaf"))
+    ends = F.col("g_name").endswith(F.concat(F.lit("."), F.col("p_name"))) | F.col("p_name").endswith(F.concat(F.lit("."), F.col("g_name"))) | (F.col("g_name") == F.col("p_name"))
+    way = (
+        F.when(F.col("g_id") == F.col("p_id"), 1)
+        .when((F.col("g_file") == F.col("p_file")) & (F.col("g_kind") == F.col("p_kind")) & (F.col("g_name") == F.col("p_name")), 2)
+        .when((F.col("g_file") == F.col("p_file")) & ends, 3)
+    )
+    met = g.join(p, [query, "_leaf"], "left").groupBy(query, "g_id", "g_file", "g_name").agg(F.min(way).alias("_w"))
+    return met.select(query, F.col("g_id").alias("symbol_id"), F.col("g_file").alias("file"), F.col("g_name").alias("name"), F.element_at(F.create_map(F.lit(1), F.lit("id"), F.lit(2), F.lit("exact"), F.lit(3), F.lit("relaxed")), F.col("_w")).alias("match"))

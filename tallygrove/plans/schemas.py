@@ -115,4 +115,9 @@ SCHEMAS = {
     "error_taxonomy": "kind string, n bigint",
     "field_overlap": "rows_ bigint, ids bigint, contents bigint, sources bigint, empty bigint",
     "frequency_buckets": "bucket string, authors bigint, reports bigint",
+    "time_features": "event_id bigint, hour_sin double, hour_cos double, day_sin double, day_cos double, value double",
+    "chunk_signals": "query_id bigint, best double, margin double, gate string",
+    "score_blend": "doc_id bigint, blend double",
+    "component_thresholds": "lang string, threshold double, coverage double, accuracy double",
+    "sequential_exclusion": "doc_id bigint",
 }

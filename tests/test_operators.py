@@ -86,3 +86,18 @@ def test_models_and_routing(spark):
     assert [r.k for r in ttl.collect()] == [2]
     j = spark.range(1).select(text.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2)))).first()[0]
     assert j == 0.5
+
+
+def test_symbol_matches_and_scalars(spark):
+    from tallygrove.functions import scalars
+
+    schema = "q int, symbol_id string, file string, kind string, name string"
+    gold = spark.createDataFrame([(1, "s1", "a.py", "def", "A.f"), (1, "s2", "a.py", "def", "A.g"), (1, "s3", "b.py", "def", "h"), (2, "s4", "c.py", "def", "k")], schema)
+    said = spark.createDataFrame([(1, "s1", "z.py", "x", "f"), (1, "x", "a.py", "def", "A.g"), (1, "y", "b.py", "def", "M.h"), (2, None, "d.py", "def", "k")], schema)
+    got = {r.symbol_id: r.match for r in code.match_symbols(gold, said, "q").collect()}
+    assert got == {"s1": "id", "s2": "exact", "s3": "relaxed", "s4": None}
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-01-01 02:00:00+02:00",), ("2024-01-01",), ("bad",), (None,)], "t string")
+    times = [r[0] for r in df.select(scalars.parse_time(F.col("t")).cast("string")).collect()]
+    assert times == ["2024-01-01 00:00:00"] * 3 + [None, None]
+    nums = spark.createDataFrame([("3",), ("x",), ("NaN",), ("-9",), (None,)], "t string").select(scalars.number(F.col("t"), 1.0, 0, 2))
+    assert [r[0] for r in nums.collect()] == [2.0, 1.0, 1.0, 0.0, 1.0]
