@@ -69,23 +69,25 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only ids and digests of dropped rows, and of rows that repeat an id with an
     equal text, are joined with docs; they are broadcast if counted to be few.
     """
-    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
     report = duplicate_report(docs, id_col, text_col, salts)
     slim = report.select(F.col(id_col).alias("_i"), F.unhex("text_sha256").alias("_d"), "kept")
     per = slim.groupBy("_i", "_d").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
     odd = materialize(per.where("not _kept or _n > 1"), "exact-odd")
-    gone, repeated = odd.where("not _kept"), odd.where("_kept")
-    keyed = docs.withColumn("_digest", digest)
-    same = lambda side: keyed[id_col].eqNullSafe(side["_i"]) & (keyed["_digest"] == side["_d"])
+    gone, repeated = odd.where("not _kept").select("_i", "_d"), odd.where("_kept").select("_i", "_d")
     n_gone, n_repeated = gone.count(), repeated.count()
-    side = F.broadcast(gone) if n_gone <= BROADCAST_ROWS else gone
-    left = keyed.join(side, same(side), "left_anti") if n_gone else keyed
+    left = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("_digest"),
+    )
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d"))
+    if n_gone:
+        left = left.join(F.broadcast(gone) if n_gone <= BROADCAST_ROWS else gone, same, "left_anti")
     if n_repeated:
         side = F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated
-        again = left.join(side, left[id_col].eqNullSafe(side["_i"]) & (left["_digest"] == side["_d"]), "left_semi")
-        left = left.join(side, left[id_col].eqNullSafe(side["_i"]) & (left["_digest"] == side["_d"]), "left_anti")
-        left = left.unionByName(again.dropDuplicates([id_col, "_digest"]))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        once = left.join(side, same, "left_semi").dropDuplicates(["_id", "_digest"])
+        left = left.join(side, same, "left_anti").unionByName(once)
+    return left.select("_row.*")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def mix(
     epochs: float = 1.0,
     shuffle: bool = True,
 ) -> DataFrame:
-    """Rows of docs repeated to the target weights: all columns, _copy from 1, _order the shuffle key.
+    """Rows of docs repeated to the target weights: all columns, then _copy from 1 and _order, the shuffle key.
 
     Rates have one row for each source; they are broadcast if counted to be at
     most BROADCAST_SOURCES, and else joined by source with hot sources split by
@@ -95,15 +95,18 @@ def mix(
     few = rates.count() <= BROADCAST_SOURCES
     rates = rates.select("_source", _distribution(F.col("rate")).alias("_cdf"))
     rates = F.broadcast(rates) if few else rates
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["_source"]))
-    u = uniform(F.lit(seed), F.col(id_col))
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_s")
+    )
+    joined = packed.join(rates, F.col("_s").eqNullSafe(F.col("_source")))
+    u = uniform(F.lit(seed), F.col("_id"))
     counted = joined.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= u)))
-    copies = counted.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    out = copies.withColumn("_order", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_copy"))).drop("_source", "_cdf", "_n")
+    copies = counted.where("_n > 0").select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    out = copies.select("_row", "_copy", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_copy")).alias("_order"))
     if shuffle:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         out = out.repartitionByRange(parts, "_order").sortWithinPartitions("_order")
-    return out
+    return out.select("_row.*", "_copy", "_order")
 
 
 def op5_poisson_mix(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrove.llm import exact_dedup, poisson_mix, quality_rules, snapshots
 from tests.conftest import SF
@@ -15,17 +16,19 @@ def test_equals_sql(spark, name):
 
 def test_exact_edges(spark):
     rows = [(3, "a  b", "x"), (1, "a b", "y"), (1, "a b", "y"), (2, None, None), (4, "", "z"), (None, "a b", "q"), (5, " a b", "k")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id string").withColumns({"_digest": F.lit("mine"), "_i": F.lit(1)})
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicate_report(df).collect()}
     assert got == {(3, 1, 4, False), (1, 1, 4, True), (None, 1, 4, False), (2, 2, 2, True), (4, 2, 2, False), (5, 5, 1, True)}
     left = exact_dedup.deduplicate(df)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 5]
+    assert {r._digest for r in left.collect()} == {"mine"}
     assert exact_dedup.deduplicate(df.limit(0)).count() == 0
 
 
 def test_mixing_weights(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "case when id % 4 = 0 then 'a' when id % 4 < 3 then 'b' end as source", "'t' as text", "1 as _n", "2 as _copy")
-    got = poisson_mix.mix(df.drop("_n", "_copy"), {"a": 3.0, "b": 1.0}).groupBy("source").count().collect()
+    df = df.withColumns({"_source": F.lit("x"), "_cdf": F.lit("y")})
+    got = poisson_mix.mix(df.drop("_copy"), {"a": 3.0, "b": 1.0}).groupBy("source").count().collect()
     counts = {r["source"]: r["count"] for r in got}
     assert None not in counts and abs(counts["a"] - 3000) < 250 and abs(counts["b"] - 1000) < 150
     assert poisson_mix.mix(df.drop("_copy").limit(0)).count() == 0
