@@ -85,8 +85,8 @@ def extract_urls(text: Column) -> Column:
 
 
 def extract_identifiers(text: Column) -> Column:
-    """snake_case and camelCase names."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z]+(?:_[A-Za-z0-9]+)+|[a-z]+(?:[A-Z][a-z0-9]+)+"), F.lit(0)))
+    """snake_case and camelCase names; possessive groups keep long runs off the stack."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z]+(?:_[A-Za-z0-9]+)++|[a-z]+(?:[A-Z][a-z0-9]+)++"), F.lit(0)))
 
 
 def masked(value: Column, seed: str = "owner") -> Column:
