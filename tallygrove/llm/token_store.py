@@ -41,7 +41,7 @@ from tallygrove.session import shared_dir
 END = 2
 BLOCK_IDS = 1 << 20
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 5000, 6
-CACHED = 1_000_000
+CACHED = 600_000
 #: A Latin letter whose lower case is a letter, then a mark.
 LETTER_MARK = r"[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{024F}][,.]$"
 
@@ -68,7 +68,9 @@ class PieceEncoder:
         self.sign = os.path.commonprefix(list(self.added)) if self.added else ""
         self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        #: Words seen lately, and those before; what isn't seen again in a while is forgotten.
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _cut(self, group: list[str], raw: bytes, last: np.ndarray, gap: int) -> bool:
         """Store the ids of a group from their joined ids; last: places where a piece ends, gap: ids between pieces."""
@@ -109,9 +111,11 @@ class PieceEncoder:
         words = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare).dictionary_encode()
         names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHED:
-            self.known = {"": b""}
-        known = self.known
-        self._ask([w for w in [*names, ",", "."] if w not in known])
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        fresh = [w for w in [*names, ",", "."] if w not in known]
+        known.update((w, older[w]) for w in fresh if w in older)
+        self._ask([w for w in fresh if w not in older])
         ids, tail = [known[w] for w in names], [b"", known[","], known["."]]
         return [ids[i] + tail[t] for i, t in zip(words.indices.to_numpy(zero_copy_only=False).tolist(), tails)]
 
