@@ -71,11 +71,14 @@ def median_of_levels(counts: list[Column], levels: list[int]) -> Column:
     return F.when(total > 0, (nth(F.floor((total - 1) / 2)) + nth(F.floor(total / 2))) / 2)
 
 
-def prior_stats(df: DataFrame, key: str, order: list[str], value: str, levels: list[int]) -> DataFrame:
-    """Count, mean and median of a small integer over the earlier rows of a key, by position."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counts = {f"_c{v}": F.coalesce(F.sum((F.col(value) == v).cast("long")).over(before), F.lit(0)) for v in levels}
-    out = df.withColumns(counts)
+def prior_stats(df: DataFrame, key: str, order: list[str], value: str, levels: list[int], cell: Column | None = None) -> DataFrame:
+    """Count, mean and median of a small integer over the earlier rows of a key, by position.
+
+    cell must rise with the order; by default it is the day of the first order column.
+    """
+    cell = F.to_date(order[0]) if cell is None else cell
+    values = {f"_c{v}": (F.col(value) == v).cast("long") for v in levels}
+    out = running_total(df, order, cell, values, strict=True, keys=[key])
     cs = [F.col(f"_c{v}") for v in levels]
     total = sum(cs[1:], cs[0])
     weighted = sum([c * v for c, v in zip(cs, levels)][1:], cs[0] * levels[0])
@@ -85,7 +88,7 @@ def prior_stats(df: DataFrame, key: str, order: list[str], value: str, levels: l
             "prior_mean": F.when(total > 0, weighted / total),
             "prior_median": median_of_levels(cs, levels),
         }
-    ).drop(*counts)
+    ).drop(*values)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, payload: list[str], strict: bool = False) -> DataFrame:
@@ -132,16 +135,22 @@ def decayed_share(history: DataFrame, keys: list[str], owner: str, ts: str, as_o
     return weighed.join(total, keys).withColumn("share", F.col("weight") / F.col("_total")).drop("_total")
 
 
-def running_total(df: DataFrame, order: list[str], cell: Column, values: dict[str, Column], strict: bool = False) -> DataFrame:
-    """df with cumulative sums of values in the given order; cell must rise with the order. Peers go by position."""
-    named = df.withColumn("_cell", cell).withColumns({f"_v_{n}": v for n, v in values.items()})
-    inside = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+def running_total(
+    df: DataFrame, order: list[str], cell: Column, values: dict[str, Column], strict: bool = False, keys: list[str] | None = None
+) -> DataFrame:
+    """df with cumulative sums of values in the given order, within keys; cell must rise with the order. Peers go by position."""
+    keys = keys or []
+    named = df.withColumn("_cell", cell).withColumns({f"_v_{n}": F.coalesce(v, F.lit(0)) for n, v in values.items()})
+    inside = Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     scanned = named.withColumns({n: F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values})
-    cells = named.groupBy("_cell").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    earlier = Window.partitionBy(F.lit(1)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = named.groupBy(*keys, "_cell").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    earlier = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
-        F.col("_cell").alias("_k"), *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in values]
+        F.col("_cell").alias("_k"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in values]
     )
-    met = scanned.join(cells, F.col("_cell").eqNullSafe(F.col("_k")))
-    drop = ["_cell", "_k", *[f"_v_{n}" for n in values], *[f"_t_{n}" for n in values]]
+    same = F.col("_cell").eqNullSafe(F.col("_k"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    met = scanned.join(cells, same)
+    drop = ["_cell", "_k", *[f"_k_{k}" for k in keys], *[f"_v_{n}" for n in values], *[f"_t_{n}" for n in values]]
     return met.withColumns({n: F.col(n) + F.col(f"_t_{n}") for n in values}).drop(*drop)

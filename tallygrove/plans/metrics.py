@@ -220,12 +220,15 @@ _top, TOP = both(
     """WITH c AS (SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type), t AS (SELECT sum(n) AS total FROM c)
  SELECT event_type, n, n * 1.0 / total AS share FROM c, t ORDER BY n DESC, event_type LIMIT 3"""
 )
-_sizes, SIZES = both(
-    """WITH n AS (SELECT id AS n FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS id FROM {orders}) WHERE id <= 5000),
- w AS (SELECT n, p, (p + 3.841458820694124 / (2 * n) - 1.959963984540054 * sqrt(p * (1 - p) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n) AS low
- FROM n, (SELECT 0.9 AS p UNION ALL SELECT 0.95 UNION ALL SELECT 0.98))
- SELECT p, min(CASE WHEN low >= p - 0.05 THEN n END) AS n_needed FROM w GROUP BY p"""
-)
+def sample_size_plan(spark, sf):
+    """Fewest rows for which the lower Wilson bound is within 0.05 of an accuracy."""
+    n = spark.range(1, 5001).select(F.col("id").alias("n"), F.explode(F.array(F.lit(0.9), F.lit(0.95), F.lit(0.98))).alias("p"))
+    low, _ = M.wilson(F.col("p") * F.col("n"), F.col("n"))
+    return n.groupBy("p").agg(F.min(F.when(low >= F.col("p") - 0.05, F.col("n"))).alias("n_needed"))
+
+
+SIZES = f"""WITH w AS (SELECT n, p::DOUBLE AS p, {M.Z} AS z FROM range(1, 5001) t(n), (VALUES (0.9), (0.95), (0.98)) v(p)),
+ l AS (SELECT n, p, (p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4.0*n*n))) / (1 + z*z/n) AS low FROM w) SELECT p, min(n) FILTER (low >= p - 0.05) AS n_needed FROM l GROUP BY p"""
 
 
 def bootstrap_ci(spark, sf, samples=200):
@@ -248,7 +251,7 @@ QUERIES = {
     "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "auroc": auroc, "calibration_ece": calibration_ece, "psi_drift": psi_drift,
     "wilson_by_group": wilson_by_group, "embedding_topk": embedding_topk, "map_mrr_recall": map_mrr_recall, "owner_entropy": owner_entropy,
     "latency_percentiles": latency_percentiles, "weekly_shadow": _weekly, "field_accuracy": _field, "risk_coverage": _risk, "confidence_bins": _bins,
-    "group_macro": _group, "class_imbalance": _imbalance, "top_values": _top, "sample_size_plan": _sizes, "bootstrap_ci": bootstrap_ci,
+    "group_macro": _group, "class_imbalance": _imbalance, "top_values": _top, "sample_size_plan": sample_size_plan, "bootstrap_ci": bootstrap_ci,
 }
 ORACLES = {
     "confusion_matrix": CONFUSION, "label_scores": LABELS, "macro_scores": MACRO, "priority_metrics": PRIORITY, "threshold_sweep": SWEEP,

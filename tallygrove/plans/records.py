@@ -197,8 +197,7 @@ def operating_points(spark, sf):
     from tallygrove.operators.metrics import threshold_curve
 
     c = threshold_curve(predictions(spark, sf), "p", "quality")
-    neg = F.col("fp").cast("double") / F.max("fp").over(Window.partitionBy(F.lit(1)))
-    c = c.withColumn("fpr", neg)
+    c = c.crossJoin(F.broadcast(c.agg(F.max("fp").alias("negatives")))).withColumn("fpr", F.col("fp").cast("double") / F.col("negatives"))
     return c.agg(
         *[F.min(F.when(F.col("recall") >= t / 100, F.col("fpr"))).alias(f"fpr_at_{t}") for t in (80, 95)],
         *[F.max(F.when(F.col("fpr") <= t / 100, F.col("recall"))).alias(f"recall_at_{t}") for t in (5, 20)],

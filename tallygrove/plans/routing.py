@@ -288,9 +288,19 @@ _weeks, WEEKS = both(
  r AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY wk DESC) AS rn FROM w)
  SELECT event_type, min(v) > 10 AS passes, count(*) AS weeks FROM r WHERE rn <= 3 GROUP BY event_type"""
 )
-_evict, EVICT = both(
-    """WITH s AS (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC) AS held FROM {documents}) SELECT doc_id, n_chars FROM s WHERE held > 50000"""
-)
+
+
+def eviction_plan(spark, sf):
+    """Documents beyond a budget of 50,000 characters of their source, newest first."""
+    from tallygrove.operators.temporal import running_total
+
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars").withColumn("_new", -F.col("doc_id"))
+    held = running_total(d, ["_new"], F.floor(F.col("_new") / 1000), {"held": F.col("n_chars")}, keys=["source"])
+    return held.where("held > 50000").select("doc_id", "n_chars")
+
+
+EVICT = """WITH s AS (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC) AS held FROM documents) SELECT doc_id, n_chars FROM s WHERE held > 50000"""
+
 _runs, RUNS = both(
     """SELECT p.o_orderkey, CASE WHEN n.items > p.prio THEN 'better' WHEN n.items < p.prio THEN 'worse' ELSE 'same' END AS outcome
  FROM (SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS prio FROM {orders}) p LEFT JOIN (SELECT l_orderkey, count(*) AS items FROM {lineitem} GROUP BY l_orderkey) n ON p.o_orderkey = n.l_orderkey"""
@@ -302,7 +312,7 @@ QUERIES = {
     "owner_known_groups": owner_known_groups, "metadata_rerank": metadata_rerank, "stable_rerank": stable_rerank, "hash_folds": hash_folds,
     "stratified_holdout": stratified_holdout, "triplets_hard": triplets_hard, "pairwise_rows": pairwise_rows, "latest_feedback": latest_feedback,
     "feedback_override": feedback_override, "priority_score": priority_score, "label_masking": label_masking, "rank_union": rank_union,
-    "leakage_audit": _leak, "partition_digest": _digest, "readiness_gates": _gates, "latest_weeks_gate": _weeks, "eviction_plan": _evict, "paired_outcomes": _runs,
+    "leakage_audit": _leak, "partition_digest": _digest, "readiness_gates": _gates, "latest_weeks_gate": _weeks, "eviction_plan": eviction_plan, "paired_outcomes": _runs,
 }
 ORACLES = {
     "owner_counts": OWNER_COUNTS, "ownership_derive": OWNERSHIP, "roster_snapshot": ROSTER, "owner_shares": SHARES, "quota_candidates": QUOTA,
