@@ -34,10 +34,12 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-    "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "local_phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+    "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "local_phone": r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
 }
+#: Characters that may not stand before or after an added span.
+BESIDE = {"iban": "[A-Za-z0-9]", "national_id": "[0-9-]", "local_phone": "[0-9A-Za-z+.-]"}
 GUARDS = {
     "email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}",
     "national_id": "-[0-9]{2}-", "local_phone": r"[0-9]{3}[\x20.-][0-9]{4}",
@@ -71,7 +73,12 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(step(r, c))) == 1
 
 
-def _confirmed(kind: str, hit: Column) -> Column:
+def _confirmed(kind: str, text: Column, m: Column) -> Column:
+    hit = m["hit"]
+    alone = F.lit(True)
+    if kind in BESIDE:
+        around = F.concat(F.when(m["start"] > 0, F.substr(text, m["start"], F.lit(1))).otherwise(""), F.substr(text, m["end"] + 1, F.lit(1)))
+        alone = ~around.rlike(BESIDE[kind])
     digits = F.regexp_replace(hit, "[^0-9]", "")
     if kind == "ip":
         part = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -82,8 +89,8 @@ def _confirmed(kind: str, hit: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        return mod97(F.regexp_replace(hit, " ", ""))
-    return F.lit(True)
+        return alone & mod97(F.regexp_replace(hit, " ", ""))
+    return alone
 
 
 def find_spans(text: Column) -> Column:
@@ -93,22 +100,22 @@ def find_spans(text: Column) -> Column:
 
         def scored(m, kind=kind):
             near = F.lower(F.substr(text, F.greatest(m["start"] - NEAR, F.lit(0)) + 1, F.least(m["start"], F.lit(NEAR))))
-            score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{RAISE[kind]})"), 0.3).otherwise(0.0)
+            score = F.lit(SCORES[kind]) + F.when(near.rlike(f"(?:^|[^a-z])(?:{RAISE[kind]})"), 0.3).otherwise(0.0)
             if kind in LOWER:
-                score = score - F.when(near.rlike(rf"\b(?:{LOWER[kind]})"), 0.2).otherwise(0.0)
+                score = score - F.when(near.rlike(f"(?:^|[^a-z])(?:{LOWER[kind]})"), 0.2).otherwise(0.0)
             score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(score, 2)))
             return F.struct(
                 F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit"), score.alias("score")
             )
 
-        good = F.filter(matches(text, PATTERNS[kind], GUARDS[kind]), _checker(kind))
+        good = F.filter(matches(text, PATTERNS[kind], GUARDS[kind]), _checker(kind, text))
         spans = F.transform(good, _one_argument(scored))
         kinds.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LIMIT))
     return F.concat(*kinds)
 
 
-def _checker(kind: str):
-    return lambda m: _confirmed(kind, m["hit"])
+def _checker(kind: str, text: Column):
+    return lambda m: _confirmed(kind, text, m)
 
 
 def _one_argument(f):
@@ -159,5 +166,61 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+
+#: The base patterns as the contract has them, for an engine with RE2.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": PATTERNS["phone"],
+} | {k: PATTERNS[k] for k in ADDED}
+
+
+def _oracle() -> str:
+    digits = "regexp_replace(h, '[^0-9]', '', 'g')"
+    luhn = (
+        f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({digits}), i, 1)::INT "
+        f"ELSE (substr(reverse({digits}), i, 1)::INT * 2) // 10 + (substr(reverse({digits}), i, 1)::INT * 2) % 10 END)) % 10 = 0"
+    )
+    turned = "(substr(replace(h, ' ', ''), 5) || substr(replace(h, ' ', ''), 1, 4))"
+    mod97 = (
+        f"list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length({turned}) + 1), lambda i: (CASE WHEN ascii(substr({turned}, i, 1)) < 58 "
+        f"THEN ascii(substr({turned}, i, 1)) - 48 ELSE ascii(substr({turned}, i, 1)) - 55 END)::BIGINT)), "
+        "lambda r, v: CASE WHEN v < 10 THEN (r * 10 + v) % 97 ELSE (r * 100 + v) % 97 END) = 1"
+    )
+    valid = {
+        "email": "true",
+        "ip": "list_max(list_transform(string_split(h, '.'), lambda x: coalesce(try_cast(ltrim(x, '0') || CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE '' END AS HUGEINT), 999))) <= 255",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": mod97,
+        "national_id": "true",
+        "local_phone": "true",
+    }
+    near = "lower(substr(t, greatest(s - 48, 0) + 1, least(s, 48)))"
+    parts = []
+    for k, kind in enumerate(BASE + ADDED):
+        p = PLAIN[kind]
+        cond = valid[kind]
+        if kind in BESIDE:
+            cond += f" AND NOT regexp_matches(CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END || substr(t, s + length(h) + 1, 1), '{BESIDE[kind]}')"
+            score = f"{SCORES[kind]} + CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{RAISE[kind]})') THEN 0.3 ELSE 0 END"
+            if kind in LOWER:
+                score += f" - CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{LOWER[kind]})') THEN 0.2 ELSE 0 END"
+            cond += f" AND round({score}, 2) >= {LIMIT}"
+        parts.append(
+            f"SELECT doc_id, {k} AS k, '{kind}' AS kind, s, s + length(h) AS e FROM (SELECT doc_id, t, h[i] AS h, "
+            "(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s "
+            f"FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS h, regexp_split_to_array(t, '{p}') AS g "
+            f"FROM d WHERE regexp_matches(t, '{p}')))) WHERE {cond}"
+        )
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (" + " UNION ALL ".join(parts) + f") SELECT d.doc_id, {counts}, "
+        f"sha256(coalesce({listed} FILTER (k < {len(BASE)}), '')) AS base_sha256, coalesce({listed}, '') AS spans FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"
+    )
+
+
 QUERIES = {"op3_pii": op3_pii}
-ORACLES: dict = {}
+ORACLES = {"op3_pii": _oracle()}
