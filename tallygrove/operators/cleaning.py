@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values, applied in this order.
+#: Fixed values, applied in this order to lower-cased text with line breaks as spaces.
 CLEANING = (
-    (r"https?://[^\s]+|www\.[^\s]+", " URL "),
-    (r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", " EMAIL "),
-    (r"0x[0-9a-f]+", " HEX "),
+    (r"https?://\S+|www\.\S+", " <URL> "),
+    (r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", " <EMAIL> "),
+    (r"\b0x[0-9a-fA-F]+\b", " <HEX> "),
+    (r"\b[a-zA-Z0-9_./\\:-]{40,}\b", " "),
     (r"={4,}|-{4,}|_{4,}|\*{4,}|#{4,}", " "),
-    (r"[^\s]{60,}", " "),
     (r"\s+", " "),
 )
 #: Placeholder values that count as empty.
@@ -26,7 +26,7 @@ PRIORITY_WORDS = {
 
 
 def clean_text(text: Column, most: int = 5000) -> Column:
-    out = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lower(F.translate(F.coalesce(text, F.lit("")), "\r\n", "  "))
     for pattern, by in CLEANING:
         out = F.regexp_replace(out, pattern, by)
     return F.substring(F.trim(out), 1, most)

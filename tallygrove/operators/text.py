@@ -57,10 +57,10 @@ def top_k(scored: DataFrame, query: str, item: str, k: int, score: str = "score"
 
 
 def simhash(df: DataFrame, id_col: str, text: Column, width: int = 3, least: int = 5) -> DataFrame:
-    """(id, simhash): 64 bits over distinct shingles of words; texts of fewer than ``least`` tokens have none."""
-    t = df.select(id_col, tokens(text).alias("_t")).where(F.size("_t") >= least)
+    """(id, simhash): 64 bits over all shingles of words; texts of fewer than ``least`` tokens have none."""
+    t = df.select(id_col, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0)).alias("_t")).where(F.size("_t") >= least)
     grams = F.transform(F.sequence(F.lit(0), F.size("_t") - width), lambda i: F.array_join(F.slice("_t", i + 1, width), " "))
-    g = t.select(id_col, F.explode(F.array_distinct(grams)).alias("g"))
+    g = t.select(id_col, F.explode(grams).alias("g"))
     h = F.conv(F.substring(F.sha2("g", 256), 1, 16), 16, -10).cast("bigint")
     bits = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(64)]
     s = g.select(id_col, h.alias("h")).groupBy(id_col).agg(*bits)

@@ -24,7 +24,7 @@ def _index(spark, sf):
 
 
 def _clean_sql(col):
-    out = f"lower(coalesce({col}, ''))"
+    out = f"lower(translate(coalesce({col}, ''), chr(13) || chr(10), '  '))"
     for pattern, by in C.CLEANING:
         out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     return f"substr(trim({out}), 1, 5000)"
@@ -149,7 +149,7 @@ def simhash_near_dups(spark, sf):
     return X.simhash_pairs(h, "doc_id")
 
 
-SIMHASH = f"""WITH t AS (SELECT doc_id, {_TOK} AS t FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 2], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 5)),
+SIMHASH = f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS t FROM documents), g AS (SELECT doc_id, array_to_string(t[i:i + 2], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM t WHERE len(t) >= 5)),
  h AS (SELECT doc_id, ('0x' || substr(sha256(g), 1, 16))::UBIGINT AS h FROM g),
  s AS (SELECT doc_id, sum(CASE WHEN b >= 0 THEN (1::HUGEINT << i) ELSE 0 END)::UBIGINT AS s FROM (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS b FROM h, range(0, 64) r(i) GROUP BY ALL) GROUP BY 1),
  f AS (SELECT s, min(doc_id) AS a FROM s GROUP BY 1)
