@@ -35,8 +35,8 @@ from tallygrove.llm.arrow import slices
 #: Fixed value: the pre-token pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of the caches of one Python worker.
-CACHED = 300_000
+#: Entries of one generation of a cache; a Python worker holds two of each, so some 100 MB in all.
+CACHED = 100_000
 #: Characters up to which a piece is worth caching.
 SHORT = 48
 
@@ -50,6 +50,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+class Recent:
+    """A cache of two generations: what isn't asked for in a while is forgotten."""
+
+    def __init__(self, most: int = CACHED):
+        self.new, self.old, self.most = {}, {}, most
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class PrefixBPE:
     """Encoder and decoder of one vocabulary file."""
 
@@ -63,7 +83,6 @@ class PrefixBPE:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in data["model"]["merges"]]
         self.cut = regex.compile(PATTERN).findall
         letters = byte_letters()
-        self.letter = {b: s for b, s in enumerate(letters)}
         back = {s: b for b, s in enumerate(letters)}
 
         # Ranks: single letters first, then merges in their order.
@@ -81,8 +100,8 @@ class PrefixBPE:
         self.ids = [vocab[s] for s in names]
         self.length = [len(s) for s in names]
         self.machine = ahocorasick.Automaton()
-        for r, s in enumerate(names):
-            self.machine.add_word(s, r)
+        for r, s in enumerate(names):  # over bytes as letters of the same number
+            self.machine.add_word("".join([chr(back[c]) for c in s]), r)
         self.machine.make_automaton()
 
         self.bytes_of: dict[int, bytes] = {vocab[s]: bytes(back[c] for c in s) for s in vocab if all(c in back for c in s)}
@@ -93,20 +112,11 @@ class PrefixBPE:
             if self.added
             else None
         )
-        self.pretokens: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.may_follow: dict[tuple[int, int], bool] = {}
-
-    def follows(self, a: int, b: int) -> bool:
-        """Whether BPE leaves tokens of ranks a and b side by side."""
-        known = self.may_follow.get((a, b))
-        if known is None:
-            if len(self.may_follow) > 4 * CACHED:
-                self.may_follow.clear()
-            known = self.may_follow[a, b] = self._follows(a, b)
-        return known
+        self.pretokens, self.pieces = Recent(), Recent()
+        self.may_follow: dict[int, bool] = {}
 
     def _follows(self, a: int, b: int) -> bool:
+        """Whether BPE leaves tokens of ranks a and b side by side."""
         # `before`: merges over the boundary below this rank would have come first.
         before = 1 << 60
         while True:
@@ -127,17 +137,25 @@ class PrefixBPE:
         found = self.pretokens.get(raw)
         if found is not None:
             return found
-        letter = self.letter
-        s = "".join([letter[x] for x in raw.encode("utf-8")])
+        s = raw.encode("utf-8").decode("latin-1")
         n = len(s)
         last = [-1] * (n + 1)  # the rank that the encoding of s[:i] ends with
-        follows, length = self.follows, self.length
+        length, pairs = self.length, self.may_follow
+        if len(pairs) > 4 * CACHED:
+            pairs.clear()
         for end, r in self.machine.iter(s):
             end += 1
             if last[end] < 0:
                 start = end - length[r]
-                if start == 0 or (last[start] >= 0 and follows(last[start], r)):
+                if not start:
                     last[end] = r
+                elif (before := last[start]) >= 0:
+                    key = before << 20 | r
+                    fits = pairs.get(key)
+                    if fits is None:
+                        fits = pairs[key] = self._follows(before, r)
+                    if fits:
+                        last[end] = r
         out, at = [], n
         while at:
             r = last[at]
@@ -147,20 +165,18 @@ class PrefixBPE:
             at -= length[r]
         found = np.array(out[::-1], "<u4").tobytes()
         if n <= SHORT:
-            if len(self.pretokens) > CACHED:
-                self.pretokens.clear()
-            self.pretokens[raw] = found
+            self.pretokens.put(raw, found)
         return found
 
     def _whole(self, text: str) -> bytes:
         return b"".join([self.pretoken(x) for x in self.cut(text)])
 
     def _piece(self, piece: str) -> bytes:
-        out = self._whole(piece)
-        if len(piece) <= SHORT:
-            if len(self.pieces) > CACHED:
-                self.pieces.clear()
-            self.pieces[piece] = out
+        out = self.pieces.get(piece)
+        if out is None:
+            out = self._whole(piece)
+            if len(piece) <= SHORT:
+                self.pieces.put(piece, out)
         return out
 
     def _ordinary(self, text: str) -> bytes:
@@ -169,7 +185,7 @@ class PrefixBPE:
         if _LONG_BLANKS.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
-        known, out = self.pieces.get, [self._whole(first)]
+        known, out = self.pieces.new.get, [self._whole(first)]
         for x in rest:
             x = " " + x
             out.append(known(x) or self._piece(x))
