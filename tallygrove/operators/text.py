@@ -85,3 +85,29 @@ def simhash_pairs(hashes: DataFrame, id_col: str, most: int = 3) -> DataFrame:
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+
+def jaccard_pairs(df: DataFrame, id_col: str, text: Column, least: float = 0.8) -> DataFrame:
+    """(a, b, jaccard) of texts whose token sets reach ``least``, exactly, by an index on rare tokens.
+
+    Two such sets share one of their rarest tokens: of n tokens the first
+    n - ceil(least * n) + 1, rarest first, are indexed. Equal sets are paired
+    with their least id only; texts without tokens have no pairs.
+    """
+    sets = df.select(F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(tokens(text))).alias("_s")).where(F.size("_s") > 0)
+    keyed = sets.withColumn("_k", F.md5(F.array_join("_s", " ")))
+    hub = keyed.groupBy("_k").agg(F.min("_id").alias("a"))
+    copies = keyed.join(hub, "_k").where(F.col("_id") > F.col("a")).select("a", F.col("_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    one = keyed.join(hub, (keyed["_k"] == hub["_k"]) & (F.col("_id") == F.col("a")), "left_semi").select("_id", "_s")
+    each = one.select("_id", F.explode("_s").alias("token"))
+    dfs = each.groupBy("token").agg(F.count("*").alias("df"))
+    rare = each.join(dfs, "token").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_r"))
+    n = F.size("_r")
+    index = rare.select("_id", n.alias("n"), F.explode(F.slice("_r", 1, n - F.ceil(least * n - 1e-9).cast("int") + 1)).alias("_t"))
+    index = index.select("_id", "n", F.col("_t.token").alias("token"))
+    other = index.select(F.col("_id").alias("b"), F.col("n").alias("m"), "token")
+    fits = (F.col("_id") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+    pairs = index.join(other, "token").where(fits).select(F.col("_id").alias("a"), "b").distinct()
+    x, y = one.select(F.col("_id").alias("a"), F.col("_s").alias("_x")), one.select(F.col("_id").alias("b"), F.col("_s").alias("_y"))
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("_x"), F.col("_y")).alias("jaccard"))
+    return met.where(F.col("jaccard") >= least).unionByName(copies)

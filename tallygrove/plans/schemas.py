@@ -1,6 +1,7 @@
 """Result columns of every query: the same names and types in Spark and SQL, doubles rounded to six places."""
 
 SCHEMAS = {
+    "jaccard_near_dups": "a bigint, b bigint, jaccard double",
     "activity_features": "report_id bigint, author bigint, priority int, prior_count bigint, prior_mean double, prior_median double, n_30d bigint, n_90d bigint",
     "prior_author_stats": "report_id bigint, prior_count bigint, prior_mean double, prior_median double",
     "trailing_counts": "event_id bigint, n_1d bigint, n_3d bigint, n_7d bigint, n_30d bigint, type_7d bigint, type_30d bigint",

@@ -157,6 +157,17 @@ SIMHASH = f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,
  UNION ALL SELECT f.a, s.doc_id, 0 FROM s JOIN f USING (s) WHERE s.doc_id > f.a"""
 
 
+def jaccard_near_dups(spark, sf):
+    """Documents whose token sets have a Jaccard similarity of 0.8 or more."""
+    return X.jaccard_pairs(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", F.col("text"))
+
+
+JACCARD = f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({_TOK})) AS s FROM documents), k AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS a FROM s WHERE len(s) > 0),
+ t AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM k WHERE doc_id = a),
+ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (x.n + y.n - count(*)) AS jaccard FROM t x JOIN t y ON x.token = y.token AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n)
+ SELECT * FROM p WHERE jaccard >= 0.8 UNION ALL SELECT a, doc_id, 1.0 FROM k WHERE doc_id > a"""
+
+
 def duplicate_components(spark, sf):
     """Components over equal texts (as a star to the least id) and shared URLs-free first lines of 40 characters or more."""
     d = table(spark, sf, "documents").where("text is not null")
@@ -238,13 +249,13 @@ _observed, OBSERVED = both(
 
 QUERIES = {
     "clean_documents": clean_documents, "page_text": page_text, "canonical_priority": canonical_priority, "extract_references": extract_references,
-    "first_comment": first_comment, "tfidf_topk": tfidf_topk, "bm25_topk": bm25_topk, "bm25f_related": bm25f_related, "simhash_near_dups": simhash_near_dups,
+    "first_comment": first_comment, "tfidf_topk": tfidf_topk, "bm25_topk": bm25_topk, "bm25f_related": bm25f_related, "simhash_near_dups": simhash_near_dups, "jaccard_near_dups": jaccard_near_dups,
     "duplicate_components": duplicate_components, "overlap_audit": overlap_audit, "missing_masters": missing_masters, "title_similarity": title_similarity,
     "keyword_features": keyword_features, "allowed_values": _allowed, "observable_fields": _observed,
 }
 ORACLES = {
     "clean_documents": CLEAN, "page_text": PAGES, "canonical_priority": PRIO, "extract_references": REFS, "first_comment": FIRST, "tfidf_topk": TFIDF,
-    "bm25_topk": BM25, "bm25f_related": BM25F, "simhash_near_dups": SIMHASH, "duplicate_components": COMPONENTS, "overlap_audit": OVERLAP,
+    "bm25_topk": BM25, "bm25f_related": BM25F, "simhash_near_dups": SIMHASH, "jaccard_near_dups": JACCARD, "duplicate_components": COMPONENTS, "overlap_audit": OVERLAP,
     "missing_masters": "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)", "title_similarity": TITLE,
     "keyword_features": KEYWORDS, "allowed_values": ALLOWED, "observable_fields": OBSERVED,
 }
