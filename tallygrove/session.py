@@ -87,6 +87,17 @@ def release(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+#: Rows of an Arrow batch where rows are whole texts; the default is five times as many.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in smaller batches: several copies of one are in memory at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished phases; Spark keeps them until the driver collects its garbage."""
     gc.collect()
