@@ -42,13 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.operators.cluster import connected_components
-from tallygrove.session import BROADCAST_ROWS, materialize, release, small_side
+from tallygrove.llm.arrow import slices
+from tallygrove.session import BROADCAST_ROWS, materialize, release, small_side, text_batches
 
 WORDS = 5
 THRESHOLD = (75, 100)
 HASHES, BANDS, BITS = 128, 32, 4
 #: Standard deviations by which an estimate may fall short before a pair is given up.
 MARGIN = 5.0
+#: Bytes of texts or sets taken at once.
+PIECE = 4 << 20
 #: Rows of a bucket compared at once.
 BLOCK = 1024
 
@@ -134,7 +137,7 @@ def least_matches() -> int:
 
 def _sketch(batches):
     hashes = _WordHashes()
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in slices(whole, "text", PIECE)):
         digests, sizes, rows = [], [], []
         for text in batch["text"].to_pylist():
             words = words_of(text)
@@ -171,7 +174,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _shingles(batches):
     hashes = _WordHashes()
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in slices(whole, "text", PIECE)):
         sets = [shingle_set(words_of(t), hashes).tobytes() for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], ["id", "shingles"])
 
@@ -188,7 +191,7 @@ def _estimated(batches):
 
 def _confirmed(batches):
     """Keeps pairs whose full sets reach the threshold."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in slices(whole, "set_a", PIECE)):
         ok = []
         last, y = None, None
         for sa, sb in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist()):
@@ -280,6 +283,7 @@ def _across(batches):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of docs."""
     spark = docs.sparkSession
+    text_batches(spark)
     rows = materialize(sketches(docs, id_col, text_col), "minhash-sketch")
     some = rows.where("words is not null and id is not null")
     reps = some.groupBy("words").agg(F.min("id").alias("rep"))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.session import text_batches
+
 #: A turn as text; <|role|> opens it, <|end|> closes it.
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 
@@ -60,6 +62,7 @@ def _prefix_digests(batches):
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies): the conversations that stay. n_copies counts equal conversations."""
+    text_batches(turns.sparkSession)
     ordered = (
         turns.select("conv_id", "turn", "role", "text")
         .repartition("conv_id")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.llm.arrow import slices
-from tallygrove.session import shared_dir
+from tallygrove.session import shared_dir, text_batches
 
 END = 2
 BLOCK_IDS = 1 << 20
@@ -274,6 +274,7 @@ def write_shards(
             yield _block(part, block, base, doc_ids, lengths, parts)
 
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    text_batches(spark)
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = slim.repartitionByRange(count, "_id").sortWithinPartitions("_id", "_text")
     ordered.mapInArrow(run, BLOCKS).write.parquet(out_dir)
