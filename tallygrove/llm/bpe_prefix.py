@@ -36,8 +36,8 @@ from tallygrove.session import text_batches
 #: Fixed value: the pre-token pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of one generation of a cache; a Python worker holds two of each, so some 150 MB in all.
-CACHED = 200_000
+#: Entries of one generation of a cache; a Python worker holds two of each, so some 100 MB in all.
+CACHED = 100_000
 #: Characters up to which a piece is worth caching.
 SHORT = 48
 
@@ -142,7 +142,7 @@ class PrefixBPE:
         n = len(s)
         last = [-1] * (n + 1)  # the rank that the encoding of s[:i] ends with
         length, pairs = self.length, self.may_follow
-        if len(pairs) > 2 * CACHED:
+        if len(pairs) > 4 * CACHED:
             pairs.clear()
         for end, r in self.machine.iter(s):
             end += 1
