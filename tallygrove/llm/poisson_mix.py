@@ -22,7 +22,7 @@ from tallygrove.session import materialize
 
 #: Hex digits of the digest that make the uniform number: 52 bits, exact in a double.
 DIGITS = 13
-#: Sources up to which the rates, of some hundred bytes each, are broadcast.
+#: Sources up to which the rates are broadcast: some hundred bytes each, and 8 * (24 * sqrt(rate) + 40) at high rates.
 BROADCAST_SOURCES = 20_000
 
 
@@ -32,17 +32,26 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("bigint") / F.lit(float(16**DIGITS))
 
 
+def _first(rate: Column) -> Column:
+    """The least count looked at: P(X < _first) is under exp(-72)."""
+    return F.greatest(F.floor(rate - 12 * F.sqrt(rate) - 20), F.lit(0)).cast("int")
+
+
 def _distribution(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, .. until it can't be told from 1 at 52 bits."""
+    """P(X <= k) for k = _first, _first + 1, .. until it can't be told from 1 at 52 bits.
+
+    Terms are relative to the first one and divided by their sum, which stays
+    under 1e100 at any rate, where exp(-rate) would become 0.
+    """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
     return F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c")),
+        F.sequence(_first(rate) + 1, last),
+        F.struct(F.lit(1.0).alias("p"), F.array(F.lit(1.0)).alias("c")),
         lambda s, k: F.struct(
             (s["p"] * rate / k).alias("p"),
             F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * rate / k)).alias("c"),
         ),
-        lambda s: s["c"],
+        lambda s: F.transform(s["c"], lambda c: c / F.element_at(s["c"], -1)),
     )
 
 
@@ -93,14 +102,14 @@ def mix(
     """
     rates = materialize(source_rates(docs, weights, source_col, tempering, epochs), "mix-rates")
     few = rates.count() <= BROADCAST_SOURCES
-    rates = rates.select("_source", _distribution(F.col("rate")).alias("_cdf"))
+    rates = rates.select("_source", _first(F.col("rate")).alias("_least"), _distribution(F.col("rate")).alias("_cdf"))
     rates = F.broadcast(rates) if few else rates
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_s")
     )
     joined = packed.join(rates, F.col("_s").eqNullSafe(F.col("_source")))
     u = uniform(F.lit(seed), F.col("_id"))
-    counted = joined.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= u)))
+    counted = joined.withColumn("_n", F.col("_least") + F.size(F.filter("_cdf", lambda c: c <= u)))
     copies = counted.where("_n > 0").select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
     out = copies.select("_row", "_copy", F.xxhash64(F.lit(seed), F.col("_id"), F.col("_copy")).alias("_order"))
     if shuffle:

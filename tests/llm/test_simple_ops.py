@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,24 @@ def test_mixing_weights(spark):
         poisson_mix.source_rates(df, {"a": -1.0})
 
 
+def test_mixing_at_high_rates(spark):
+    """Two hundred documents at a rate of 5,000, where exp(-rate) is 0 in a double."""
+    rates = [0.0, 0.5, 30.0, 200.0, 746.0, 5000.0]
+    df = spark.createDataFrame([(r,) for r in rates], "rate double")
+    got = df.select("rate", poisson_mix._first(F.col("rate")).alias("least"), poisson_mix._distribution(F.col("rate")).alias("cdf")).collect()
+    for r in got:
+        p = [math.exp(-r.rate + k * math.log(r.rate) - math.lgamma(k + 1)) if r.rate else float(k == 0) for k in range(r.least + len(r.cdf))]
+        total = 0.0
+        for k, x in enumerate(p):
+            total += x
+            assert k < r.least and total < 1e-15 or k >= r.least and math.isclose(total, r.cdf[k - r.least], rel_tol=1e-9, abs_tol=1e-15)
+    df = spark.range(20200).selectExpr("id as doc_id", "case when id < 200 then 'few' else 'many' end as source")
+    few = poisson_mix.mix(df, {"few": 980.0, "many": 0.0}, epochs=49.5, shuffle=False).groupBy("doc_id").count().collect()
+    n = [r["count"] for r in few]
+    mean = sum(n) / len(n)
+    assert len(n) == 200 and abs(mean - 4999.5) < 25 and 3500 < sum((x - mean) ** 2 for x in n) / len(n) < 7000
+
+
 def test_snapshot_edges(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (3, 2, "user", "more"),
