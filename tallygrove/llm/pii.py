@@ -2,7 +2,7 @@
 
 Base kinds, leftmost and non-overlapping for each kind, failing matches dropped:
 email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (9 to 15
-digits). Added kinds: iban (mod-97), national_id and local_phone, which count
+digits). Added kinds: iban (length of its country, mod-97), national_id and local_phone, which count
 only if a context word before them lifts their score to ``LIMIT``. Base spans
 always stay; their scores are adjusted too.
 
@@ -38,6 +38,17 @@ PATTERNS = {
     "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "local_phone": r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
 }
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: The start of an IBAN that stands alone, and the whole of it: as long as its country has it, else as long as it goes.
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])"
+_LONG = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+IBAN = rf"^(?:{_LONG}|(?!(?:{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})){PATTERNS['iban']})"
 #: Characters that may not stand before or after an added span.
 BESIDE = {"iban": "[A-Za-z0-9]", "national_id": "[0-9-]", "local_phone": "[0-9A-Za-z+.-]"}
 GUARDS = {
@@ -73,6 +84,22 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(step(r, c))) == 1
 
 
+def _ibans(text: Column) -> Column:
+    """Candidates from every head, so that neither what follows an IBAN nor a failing candidate hides one."""
+
+    def whole(m):
+        hit = F.regexp_extract(F.substr(text, m["start"] + 1, F.lit(64)), IBAN, 0)
+        return F.struct(m["start"].alias("start"), (m["start"] + F.length(hit)).alias("end"), hit.alias("hit"))
+
+    heads = F.transform(matches(text, IBAN_HEAD, GUARDS["iban"]), whole)
+    good = F.filter(heads, lambda m: (m["hit"] != "") & _confirmed("iban", text, m))
+    return F.aggregate(
+        good,
+        F.expr("cast(array() as array<struct<start: int, end: int, hit: string>>)"),
+        lambda kept, m: F.when((F.size(kept) > 0) & (F.element_at(kept, -1)["end"] > m["start"]), kept).otherwise(F.array_append(kept, m)),
+    )
+
+
 def _confirmed(kind: str, text: Column, m: Column) -> Column:
     hit = m["hit"]
     alone = F.lit(True)
@@ -108,7 +135,7 @@ def find_spans(text: Column) -> Column:
                 F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit"), score.alias("score")
             )
 
-        good = F.filter(matches(text, PATTERNS[kind], GUARDS[kind]), _checker(kind, text))
+        good = _ibans(text) if kind == "iban" else F.filter(matches(text, PATTERNS[kind], GUARDS[kind]), _checker(kind, text))
         spans = F.transform(good, _one_argument(scored))
         kinds.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LIMIT))
     return F.concat(*kinds)

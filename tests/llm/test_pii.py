@@ -77,3 +77,17 @@ def test_added_kinds_and_redaction(spark):
     assert P.scan(df.limit(0), out_col="s").count() == 0
     assert P.scan(df, out_col="s").columns == ["doc_id", "text", "pii", "s"]
     assert spark.range(1).select(P.mod97(F.lit("GB82WEST12345698765432"))).first()[0]
+
+
+def test_ibans_before_other_words(spark):
+    texts = {
+        "IBAN DE89370400440532013000 BIC COBADEFFXXX": ["DE89370400440532013000"],
+        "IBAN DE89 3704 0044 0532 0130 00 2024-01-01": ["DE89 3704 0044 0532 0130 00"],
+        "DE89370400440532013000 GB82 WEST 1234 5698 7654 32 NO93 8601 1117 947 X": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"],
+        "NO93 1234 567 DE89 3704 0044 0532 0130 00 A": ["DE89 3704 0044 0532 0130 00"],
+        "DE89370400440532013000A DE8937040044053201300 xDE89370400440532013000": [],
+    }
+    rows = P.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), out_col="s").orderBy("doc_id").collect()
+    for r in rows:
+        found = [s for s in r.s if s.kind == "iban"]
+        assert [s.hit for s in found] == texts[r.text] and all(r.text[s.start : s.end] == s.hit for s in found)
