@@ -1,7 +1,9 @@
 """Secret scan with a random forest for the removal of false positives. DataFrame functions and Spark ML only.
 
-Candidates are runs of key-like characters that hold a digit, and values after
-a word such as password. Features of a candidate: its length, transitions
+Candidates are runs of key-like characters that hold a digit or start like a
+known key, and values after a word such as password in any case, = or :, and an
+optional quote; values have six characters or more and hold no blank, quote or
+=. Features of a candidate: its length, transitions
 between character classes, shares of classes, whether it is hexadecimal,
 coverage by dictionary words and by repeats of one letter, hints in its path
 and its neighbouring words. The forest is fitted on labelled findings: a table
@@ -32,11 +34,17 @@ TREES, DEPTH, SEED = 25, 8, 11
 NEAR = 32
 THRESHOLD = 0.5
 
-CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-    r"|(?<=(?:password|passwd|secret|api_key|apikey|token)[=:])[^\x20\x09-\x0D\"'=]{6,}"
+#: A run of key-like characters with a digit, or of any after a known prefix.
+RUN = (
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|A[KS]IA[0-9A-Z]{16}|gh[pousr]_)[A-Za-z0-9+/_-]{16,}={0,2}"
 )
-GUARD = r"[A-Za-z0-9+/_-]{16}|(?:password|passwd|secret|api_key|apikey|token)[=:]"
+RUN_GUARD = r"[A-Za-z0-9+/_-]{16}"
+#: A keyword in any case and = or :, with blanks and quotes around; the value follows and isn't consumed, as it can hold a keyword.
+ASSIGNED = (
+    r"(?i:password|passwd|secret|api_key|apikey|token|access_key)[\"'`]?[\x20\x09]*+[=:][\x20\x09]*+[\"'`]?"
+    r"(?=([^\x20\x09-\x0D\"'=]{6,}))"
+)
+ASSIGNED_GUARD = r"(?i:password|passwd|secret|api_key|apikey|token|access_key)[\"'`]?[\x20\x09]*+[=:]"
 
 SECRET_WORDS = "password|passwd|pwd|secret|token|api_?key|apikey|auth|bearer|credential|private|access_key|akia"
 DIGEST_WORDS = "commit|sha1|sha256|sha512|md5|checksum|digest|etag|hash|uuid|guid|revision|blob|build|trace|request|session_count"
@@ -89,11 +97,27 @@ def features(rows: DataFrame) -> DataFrame:
     )
 
 
+def proposed(text: Column) -> Column:
+    """array<struct<start, end, hit>> of runs and assigned values; of overlapping ones the first, of those at one start the run."""
+    none = F.expr("cast(array() as array<struct<start: int, last: int, end: int, hit: string>>)")
+
+    def value(m, hit):
+        return F.struct(m["end"].alias("start"), F.lit(1).alias("last"), (m["end"] + F.length(hit)).alias("end"), hit.alias("hit"))
+
+    runs = F.transform(
+        matches(text, RUN, RUN_GUARD), lambda m: F.struct(m["start"].alias("start"), F.lit(0).alias("last"), m["end"].alias("end"), m["hit"].alias("hit"))
+    )
+    values = F.zip_with(matches(text, ASSIGNED, ASSIGNED_GUARD), F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)), value)
+    values = F.when(text.rlike(ASSIGNED_GUARD), values).otherwise(none)
+    apart = lambda kept, m: F.when((F.size(kept) > 0) & (F.element_at(kept, -1)["end"] > m["start"]), kept).otherwise(F.array_append(kept, m))
+    return F.aggregate(F.array_sort(F.concat(runs, values)), none, apart)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row for each candidate: id, path, start, end, candidate, before, after."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.select(F.col(id_col).alias("_id"), F.col(path_col).cast("string").alias("path"), text.alias("_text"))
-    found = held.withColumn("_found", matches(F.col("_text"), CANDIDATE, GUARD)).where(F.size("_found") > 0)
+    found = held.withColumn("_found", proposed(F.col("_text"))).where(F.size("_found") > 0)
     m = F.col("_m")
     cut = F.transform(
         "_found",
