@@ -130,8 +130,8 @@ WILSON = f"""WITH {PRED}, g AS (SELECT lang, sum((said = quality)::INT) AS k, co
  least(1, (k/n + z*z/(2*n) + z*sqrt(k/n*(1-k/n)/n + z*z/(4*n*n))) / (1 + z*z/n)) AS high FROM g"""
 
 
-def embedding_ranks(spark, sf, k=10):
-    """The k nearest vectors (cosine, then id) of each vector whose id is divisible by 20. Queries are packed in blocks of rows."""
+def embedding_pairs(spark, sf):
+    """Cosine of each vector whose id is divisible by 20 to every other. Queries are packed in blocks of rows."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     e = e.withColumn("norm", norm)
@@ -139,12 +139,16 @@ def embedding_ranks(spark, sf, k=10):
     blocks = q.groupBy(F.floor(F.col("vec_id") / 2000).alias("block")).agg(F.collect_list(F.struct("vec_id", "v", "norm", "label")).alias("qs"))
     pairs = e.join(blocks).select("vec_id", "v", "norm", "label", F.explode("qs").alias("q")).where(F.col("q.vec_id") != F.col("vec_id"))
     dot = F.aggregate(F.zip_with("v", "q.v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select(
+    return pairs.select(
         F.col("q.vec_id").alias("query_id"), F.col("vec_id").alias("item_id"), F.round(dot / F.col("norm") / F.col("q.norm"), 6).alias("score"),
         F.col("q.label").alias("query_label"), "label",
     )
+
+
+def embedding_ranks(spark, sf, k=10):
+    """The k nearest vectors (cosine, then id) of each vector whose id is divisible by 20."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return embedding_pairs(spark, sf).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 EMB = """ranks AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,

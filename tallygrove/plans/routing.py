@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallygrove.operators import routing as R
-from tallygrove.plans.metrics import EMB, embedding_ranks
+from tallygrove.plans.metrics import EMB, embedding_pairs, embedding_ranks
 from tallygrove.plans.shared import both
 from tallygrove.plans.temporal import CUT, HISTORY, REPORTS, owner_history, reports
 from tallygrove.session import table
@@ -194,13 +194,11 @@ STRATIFIED = f"""WITH {REPORTS} SELECT report_id, priority FROM (SELECT report_i
 
 
 def triplets_hard(spark, sf):
-    """Anchor, nearest positive and nearest negative of each query vector."""
-    r = embedding_ranks(spark, sf, 10)
-    pos = r.where("label = query_label").groupBy("query_id").agg(F.min("rank").alias("p"))
-    neg = r.where("label <> query_label").groupBy("query_id").agg(F.min("rank").alias("n"))
-    best = pos.join(neg, "query_id")
-    at = lambda c: r.select("query_id", F.col("rank").alias(c), F.col("item_id").alias(f"{c}_id"))
-    return best.join(at("p"), ["query_id", "p"]).join(at("n"), ["query_id", "n"]).select(F.col("query_id").alias("anchor"), F.col("p_id").alias("positive"), F.col("n_id").alias("negative"))
+    """Anchor, nearest positive and nearest negative of each query vector, of all vectors."""
+    nearest = lambda cond: F.max(F.when(cond, F.struct("score", (-F.col("item_id")).alias("i"))))
+    same = F.col("label") == F.col("query_label")
+    best = embedding_pairs(spark, sf).groupBy("query_id").agg(nearest(same).alias("p"), nearest(~same).alias("n")).where("p IS NOT NULL AND n IS NOT NULL")
+    return best.select(F.col("query_id").alias("anchor"), (-F.col("p.i")).alias("positive"), (-F.col("n.i")).alias("negative"))
 
 
 TRIPLETS = f"""WITH {EMB} SELECT query_id AS anchor, arg_min(item_id, rank) FILTER (label = query_label) AS positive, arg_min(item_id, rank) FILTER (label <> query_label) AS negative
@@ -208,10 +206,13 @@ TRIPLETS = f"""WITH {EMB} SELECT query_id AS anchor, arg_min(item_id, rank) FILT
 
 
 def pairwise_rows(spark, sf):
-    """One positive with at most ten hardest negatives, mirrored, weighted by 1 / sqrt(rank)."""
-    r = embedding_ranks(spark, sf)
-    pos = r.where("label = query_label").groupBy("query_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("i"))).alias("b"))
-    m = r.where("label <> query_label").join(pos, "query_id").select("query_id", "item_id", (F.col("b.score") - F.col("score")).alias("diff"), (1 / F.sqrt("rank")).alias("weight"))
+    """The nearest positive with at most ten hardest negatives, of all vectors, mirrored, weighted by 1 / sqrt(rank among all)."""
+    w = Window.partitionBy("query_id")
+    same = F.col("label") == F.col("query_label")
+    r = embedding_pairs(spark, sf).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "item_id")))
+    r = r.withColumn("best", F.max(F.when(same, F.col("score"))).over(w)).where(~same & F.col("best").isNotNull())
+    m = r.withColumn("place", F.row_number().over(w.orderBy("rank"))).where("place <= 10")
+    m = m.select("query_id", "item_id", (F.col("best") - F.col("score")).alias("diff"), (1 / F.sqrt("rank")).alias("weight"))
     one = m.select("query_id", "item_id", "diff", F.lit(1).alias("target"), "weight")
     return one.unionByName(m.select("query_id", "item_id", (-F.col("diff")).alias("diff"), F.lit(0).alias("target"), "weight"))
 

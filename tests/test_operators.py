@@ -101,3 +101,27 @@ def test_symbol_matches_and_scalars(spark):
     assert times == ["2024-01-01 00:00:00"] * 3 + [None, None]
     nums = spark.createDataFrame([("3",), ("x",), ("NaN",), ("-9",), (None,)], "t string").select(scalars.number(F.col("t"), 1.0, 0, 2))
     assert [r[0] for r in nums.collect()] == [2.0, 1.0, 1.0, 0.0, 1.0]
+
+
+def test_nearest_of_all_vectors(spark):
+    """Triplets and pairs of every query vector against all others, where both labels may be far down the ranks."""
+    from tallygrove.plans.metrics import embedding_pairs
+    from tallygrove.plans.routing import pairwise_rows, triplets_hard
+    from tests.conftest import TINY
+
+    ranks = {}
+    for r in embedding_pairs(spark, TINY).collect():
+        ranks.setdefault(r.query_id, []).append((-r.score, r.item_id, r.label == r.query_label))
+    triplets, pairs = set(), set()
+    for q, every in ranks.items():
+        every = [(s, i, same, n) for n, (s, i, same) in enumerate(sorted(every), 1)]
+        pos, neg = [x for x in every if x[2]], [x for x in every if not x[2]]
+        if pos and neg:
+            triplets.add((q, pos[0][1], neg[0][1]))
+            pairs |= {(q, i, round(s - pos[0][0], 6), round(n**-0.5, 6)) for s, i, _, n in neg[:10]}
+    got = triplets_hard(spark, TINY).collect()
+    assert len(got) == len(triplets) and {tuple(r) for r in got} == triplets
+    rows = pairwise_rows(spark, TINY).collect()
+    for sign, target in ((1, 1), (-1, 0)):
+        mine = [(r.query_id, r.item_id, round(sign * r["diff"], 6), round(r.weight, 6)) for r in rows if r.target == target]
+        assert len(mine) == len(pairs) and set(mine) == pairs
