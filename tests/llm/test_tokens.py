@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -72,26 +73,89 @@ def test_op9_nulls_repeats_and_empty(spark):
     assert B.encode(df.limit(0), BYTE).count() == 0
 
 
-def test_grammar_round_trip_and_random_access():
+def plain_repair(ids, base, end=2):
+    """Rounds of a plain Re-Pair: frequent pairs in order, each replaced from left to right or, if left with too few places, not at all."""
+    seq, rules, rounds = list(ids), [], []
+    while True:
+        pairs = Counter(p for p in zip(seq, seq[1:]) if end not in p)
+        good = sorted((p for p in pairs if pairs[p] >= S.LEAST_COUNT), key=lambda p: (-pairs[p], p))
+        if not good:
+            return seq, rules, rounds
+        taken, at = {}, {}
+        for p in good:
+            places, i = [], 0
+            for i in range(len(seq) - 1):
+                if (seq[i], seq[i + 1]) == p and not (i - 1 in taken or i in taken or i + 1 in taken):
+                    places.append(i)
+                    taken[i] = p
+            at[p] = places
+        made = [p for p in sorted(good) if len(at[p]) >= S.LEAST_USES]
+        symbol = {i: base + len(rules) + k for k, p in enumerate(made) for i in at[p]}
+        seq = [symbol.get(i, x) for i, x in enumerate(seq) if i - 1 not in symbol]
+        rules += made
+        rounds.append(len(made))
+
+
+def as_block(symbols, rules, rounds, base):
+    width = (base + len(rules) - 1).bit_length()
+    return {
+        "rules": S.pack(rules.T.ravel(), width), "symbols": S.pack(symbols, width), "n_symbols": len(symbols), "rounds": rounds,
+        "base": base, "lengths": S.expansion_lengths(rules, rounds, base).astype("<u4").tobytes(),
+    }
+
+
+@pytest.mark.parametrize("base", [12, 49408, 65530, 200_000])
+def test_grammar_equals_a_plain_one(base):
+    rng = np.random.default_rng(base)
+    for n, kinds in ((0, 1), (1, 1), (2, 1), (90, 1), (91, 2), (700, 3), (4000, 9)):
+        ids = rng.integers(base - kinds, base, n).astype(np.uint32)
+        ids[rng.random(n) < 0.05] = 2
+        if n == 4000:
+            ids[1000:2000] = ids[3000:] = ids[:1000]
+        symbols, rules, rounds = S.compress(ids, base)
+        assert (symbols.tolist(), list(map(tuple, rules.tolist())), rounds) == plain_repair(ids.tolist(), base)
+        left = Counter(p for p in zip(symbols.tolist(), symbols[1:].tolist()) if 2 not in p)
+        assert max(left.values(), default=0) < S.LEAST_COUNT
+        block = as_block(symbols, rules, rounds, base)
+        assert (S.decode_block(block) == ids).all()
+        for a, b in ((0, n), (n // 3, n // 2), (n - 1, n)):
+            assert n == 0 or (S.decode_range(block, a, b - a) == ids[a:b]).all()
+
+
+def test_grammar_folds_copies_of_a_long_text():
+    text = np.random.default_rng(1).permutation(40_000)[:1000].astype(np.uint32) + 3
+    symbols, rules, rounds = S.compress(np.tile(np.append(text, 2).astype(np.uint32), 500), 49408)
+    assert len(symbols) == 1000 and len(rounds) >= 10
+    assert S.expansion_lengths(rules, rounds, 49408).max() == 1000
+
+
+def test_grammar_random_access():
     rng = np.random.default_rng(4)
     words = [rng.integers(0, 49408, rng.integers(1, 5)) for _ in range(300)]
-    for n in (0, 1, 2, 7, 5000):
-        docs = [np.concatenate([words[i] for i in rng.integers(0, 300, n)] + [np.array([2])]) for _ in range(4)]
-        ids = np.concatenate(docs).astype(np.uint32)
-        symbols, rules, rounds = S.compress(ids, 49408)
-        assert (S.expand(symbols, rules, rounds, 49408) == ids).all()
-        block = {
-            "rules": rules.tobytes(), "symbols": symbols.tobytes(), "rounds": rounds, "base": 49408,
-            "lengths": S.expansion_lengths(rules, rounds, 49408).astype("<u4").tobytes(),
-        }
-        start = 0
-        for d in docs:
-            assert (S.decode_range(block, start, len(d)) == d).all()
-            start += len(d)
-        if n == 5000:
-            assert len(symbols) < 0.6 * len(ids)
-    same = np.full(1001, 7, np.uint32)
-    assert (S.expand(*S.compress(same, 49408), 49408) == same).all()
+    docs = [np.concatenate([words[i] for i in rng.integers(0, 300, n)] + [np.array([2])]) for n in (0, 1, 2, 7, 5000, 30_000)]
+    ids = np.concatenate(docs).astype(np.uint32)
+    symbols, rules, rounds = S.compress(ids, 49408)
+    assert len(symbols) < 0.6 * len(ids)
+    block, start = as_block(symbols, rules, rounds, 49408), 0
+    for d in docs:
+        assert (S.decode_range(block, start, len(d)) == d).all()
+        start += len(d)
+
+
+def test_packed_symbols():
+    rng = np.random.default_rng(6)
+    for width in (3, 16, 17, 21, 32):
+        x = rng.integers(0, 1 << width, 1003).astype(np.uint32)
+        for lo, hi in ((0, 1003), (5, 900), (8, 16), (1002, 1003), (7, 7)):
+            assert (S.unpack(S.pack(x, width), len(x), lo, hi) == x[lo:hi]).all()
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_any_vocabulary(path):
+    t, enc = Tokenizer.from_file(path), S.PieceEncoder(path)
+    assert enc.by_pieces == (path == WORD)
+    ids, sizes = enc.encode(pa.array(ODD + [None]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in [*ODD, None]]
 
 
 def test_pieces_equal_whole_texts():
@@ -118,7 +182,15 @@ def test_op8_on_all_documents(spark):
 
 
 def test_op8_nulls_ties_and_empty(spark):
-    df = spark.createDataFrame([(2, None), (1, "b"), (1, "a"), (None, "c")], "doc_id long, text string")
+    rows = [(2, None, 1), (1, "b", 2), (1, "a", 3), (None, "c", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int")
     got = sorted(tuple(r)[:3] for r in S.read_shards(spark, S.write_shards(df, WORD)).fillna(-1).collect())
     assert got == [(-1, 0, 2), (1, 2, 2), (1, 4, 2), (2, 6, 1)]
     assert S.read_shards(spark, S.write_shards(df.limit(0), WORD)).count() == 0
+
+
+def test_op8_repeated_rows_and_a_very_long_text(spark):
+    df = spark.createDataFrame([(5, "a b", "x")] * 700 + [(7, "ab " * 600_000, "y")], "doc_id long, text string, part string")
+    got = sorted(tuple(r) for r in S.read_shards(spark, S.write_shards(df, WORD)).select("doc_id", "start", "n_tokens").collect())
+    n = 600_000 * len(Tokenizer.from_file(WORD).encode("ab", add_special_tokens=False).ids) + 1
+    assert got == [(5, 3 * k, 3) for k in range(700)] + [(7, 2100, n)]
