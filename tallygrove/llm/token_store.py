@@ -51,7 +51,7 @@ END = 2
 BLOCK_IDS = 1 << 20
 #: Places of a pair that becomes a rule, and those that it must get.
 LEAST_COUNT, LEAST_USES = 6, 3
-CACHED = 600_000
+CACHED = 400_000
 #: A Latin letter whose lower case is a letter, then a mark.
 LETTER_MARK = r"[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{024F}][,.]$"
 
@@ -214,12 +214,12 @@ def compress(ids: np.ndarray, base: int, end: int = END) -> tuple[np.ndarray, np
     """(symbols, rules, rules made in each round) of a block of ids, all below base."""
     seq = ids.astype(np.uint32)
     rules, rounds, free = [np.empty((0, 2), np.uint32)], [], base
-    places = np.arange(max(len(seq) - 1, 0))
+    places = np.flatnonzero((seq[:-1] != end) & (seq[1:] != end)).astype(np.int32)
     while True:
-        places = places[(seq[places] != end) & (seq[places + 1] != end)]
         # Codes of pairs take 32 bits as long as symbols take 16.
         half, wide = (16, np.uint32) if free <= 1 << 16 else (32, np.uint64)
-        code = (seq[places].astype(wide) << wide(half)) | seq[places + 1]
+        code = seq[places].astype(wide) << wide(half)
+        code |= seq[places + 1]
         ordered = np.sort(code)
         starts = np.flatnonzero(np.concatenate((np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(starts, len(ordered)))
@@ -227,9 +227,11 @@ def compress(ids: np.ndarray, base: int, end: int = END) -> tuple[np.ndarray, np
         if not len(good):
             return seq, np.concatenate(rules), rounds
         chosen = ordered[starts[good]]
+        del ordered
         order = np.empty(len(good), np.int32)
         order[np.argsort(-counts[good], kind="stable")] = np.arange(len(good), dtype=np.int32)
         at, which = _find(code, chosen)
+        del code
         at = places[at]
         taken = _claim(at, order[which])
         at, which = at[taken], which[taken]
@@ -245,7 +247,7 @@ def compress(ids: np.ndarray, base: int, end: int = END) -> tuple[np.ndarray, np
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, look = seq[stay], look[:-1][stay]
-        places = np.flatnonzero(look[:-1] | (seq[1:] >= free))
+        places = np.flatnonzero((look[:-1] | (seq[1:] >= free)) & (seq[:-1] != end) & (seq[1:] != end)).astype(np.int32)
         kept = chosen[made]
         rules.append(np.stack((kept >> wide(half), kept & wide((1 << half) - 1)), axis=1).astype(np.uint32))
         rounds.append(len(kept))
@@ -331,6 +333,7 @@ def decode_range(block: dict, start: int, n: int) -> np.ndarray:
 
 def _block(part: int, block: int, base: int, first: int, doc_ids: list, lengths: list, parts: list[np.ndarray]) -> pa.RecordBatch:
     ids = np.concatenate(parts)
+    pa.default_memory_pool().release_unused()
     symbols, rules, rounds = compress(ids, base)
     width = (base + len(rules) - 1).bit_length()
     values = [
@@ -358,7 +361,7 @@ def write_shards(
         part, block, base, first = TaskContext.get().partitionId(), 0, encoder(path).size, 0
         doc_ids, lengths, parts, held = [], [], [], 0
         for batch in batches:
-            for piece in slices(batch, "_text", 8 << 20):
+            for piece in slices(batch, "_text", 4 << 20):
                 ids, sizes = encoder(path).encode(piece["_text"])
                 ends = np.cumsum(sizes)
                 ids, sizes = np.insert(ids, ends, END), sizes + 1
