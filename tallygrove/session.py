@@ -50,11 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR["dir"]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     for held in _SCOPES:
         held.append(path)
     out = spark.read.schema(df.schema).parquet(path)
