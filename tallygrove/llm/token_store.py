@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrove.llm.arrow import slices
+from tallygrove.llm.arrow import give_back, slices
 from tallygrove.session import shared_dir, small_side, text_batches
 
 END = 2
@@ -333,7 +333,7 @@ def decode_range(block: dict, start: int, n: int) -> np.ndarray:
 
 def _block(part: int, block: int, base: int, first: int, doc_ids: list, lengths: list, parts: list[np.ndarray]) -> pa.RecordBatch:
     ids = np.concatenate(parts)
-    pa.default_memory_pool().release_unused()
+    give_back()
     symbols, rules, rounds = compress(ids, base)
     width = (base + len(rules) - 1).bit_length()
     values = [
