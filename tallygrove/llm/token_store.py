@@ -405,7 +405,7 @@ def read_shards(spark, out_dir: str) -> DataFrame:
             ids = decode_block(row).astype("<u4")
             sizes = np.array(row["doc_lengths"], np.int64)
             ends = np.cumsum(sizes)
-            raw = memoryview(ids.tobytes())
+            raw = ids.tobytes()
             cut = [raw[4 * (b - n) : 4 * b] for n, b in zip(sizes.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
