@@ -51,7 +51,7 @@ END = 2
 BLOCK_IDS = 1 << 20
 #: Places of a pair that becomes a rule, and those that it must get.
 LEAST_COUNT, LEAST_USES = 6, 3
-CACHED = 400_000
+CACHED = 600_000
 #: A Latin letter whose lower case is a letter, then a mark.
 LETTER_MARK = r"[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{024F}][,.]$"
 
@@ -92,7 +92,9 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.by_pieces = _by_pieces(json.loads(self.library.to_str()))
+        marks = [self.library.encode(m, add_special_tokens=False).ids for m in ",."]
+        self.marks = np.array([0, *(m[0] for m in marks)], np.uint32)
+        self.by_pieces = _by_pieces(json.loads(self.library.to_str())) and all(len(m) == 1 for m in marks)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = next(iter(self.added.items()), (None, None))
@@ -135,24 +137,18 @@ class PieceEncoder:
         for piece, e in zip(others, encode(others, add_special_tokens=False) if others else []):
             self.known[piece] = np.array(e.ids, "<u4").tobytes()
 
-    def _pieces(self, pieces: pa.Array) -> list[bytes]:
-        """Ids of distinct pieces. A mark after a letter is a pre-token of its own and case is dropped, so few bare words need the library."""
-        marked = pc.match_substring_regex(pieces, LETTER_MARK)
-        bare = pc.if_else(marked, pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
-        tails = (pc.if_else(marked, pc.if_else(pc.ends_with(pieces, ","), 1, 2), 0)).to_numpy(zero_copy_only=False).tolist()
-        words = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare).dictionary_encode()
-        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         if len(self.known) > CACHED:
             self.known, self.older = {"": b""}, self.known
-        known, older = self.known, self.older
-        fresh = [w for w in [*names, ",", "."] if w not in known]
-        known.update((w, older[w]) for w in fresh if w in older)
-        self._ask([w for w in fresh if w not in older])
-        ids, tail = [known[w] for w in names], [b"", known[","], known["."]]
-        return [ids[i] + tail[t] for i, t in zip(words.indices.to_numpy(zero_copy_only=False).tolist(), tails)]
+        found = list(map(self.known.get, words))
+        fresh = [w for w, ids in zip(words, found) if ids is None]
+        self.known.update((w, self.older[w]) for w in fresh if w in self.older)
+        self._ask([w for w in fresh if w not in self.older])
+        return [self.known[w] if ids is None else ids for w, ids in zip(words, found)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, how many each has)."""
+        """(ids of all texts, how many each has). A mark after a letter is a pre-token of its own and case is dropped, so few bare words need the library."""
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         if not self.by_pieces:
@@ -160,13 +156,21 @@ class PieceEncoder:
             return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64)
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         pieces = pc.list_flatten(lists).dictionary_encode()
-        coded = self._pieces(pieces.dictionary)
+        marked = pc.match_substring_regex(pieces.dictionary, LETTER_MARK)
+        bare = pc.if_else(marked, pc.utf8_slice_codeunits(pieces.dictionary, 0, -1), pieces.dictionary)
+        tails = pc.if_else(marked, pc.if_else(pc.ends_with(pieces.dictionary, ","), 1, 2), 0).to_numpy(zero_copy_only=False)
+        words = pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare).dictionary_encode()
+        coded = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        flat, first = np.frombuffer(b"".join(coded) + bytes(4), "<u4"), np.cumsum(sizes) - sizes
         which = pieces.indices.to_numpy(zero_copy_only=False)
-        own = sizes[which]
+        word, tail = words.indices.to_numpy(zero_copy_only=False)[which], tails[which]
+        own = sizes[word] + (tail > 0)
         ends = np.cumsum(own)
-        out = flat[np.repeat(first[which] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # Where a mark follows, the place after the word's ids is read first and then overwritten.
+        out = flat[np.repeat(first[word] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        last = np.flatnonzero(tail)
+        out[ends[last] - 1] = self.marks[tail[last]]
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return out, np.diff(np.concatenate(([0], ends))[bounds])
 
