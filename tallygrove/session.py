@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +42,12 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _OWN_DIR:
         _OWN_DIR["dir"] = "file://" + tempfile.mkdtemp(prefix="tallygrove-")
     return _OWN_DIR["dir"]
@@ -55,24 +58,25 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    for held in _SCOPES:
+    for held in _SCOPES.get():
         held.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out
 
 
-_SCOPES: list[list[str]] = []
+#: Of this thread only, so that jobs side by side don't note each other's tables.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch(held: list[str]):
     """Note in ``held`` the folders that materialize() writes meanwhile."""
-    _SCOPES.append(held)
+    before = _SCOPES.set((*_SCOPES.get(), held))
     try:
         yield held
     finally:
-        _SCOPES.remove(held)
+        _SCOPES.reset(before)
 
 
 def delete(spark: SparkSession, path: str) -> None:
