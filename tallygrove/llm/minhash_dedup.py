@@ -9,26 +9,28 @@ the Jaccard similarity of their sets is at least 0.75.
    words, the low four bits of 128 minima packed into 64 bytes, and 32 band
    keys made of four whole minima each. A pair at 0.75 meets in a band with
    probability 1 - (1 - 0.75^4)^32 = 1 - 5e-6.
-2. Equal word sequences collapse to the least id: one partial aggregation, so a
-   large group of copies costs one row from then on.
-3. Star round: in each band bucket every member is paired with the bucket's
-   least id only. Pairs are estimated from the packed signatures by bit counts,
-   corrected for chance collisions of 2^-4, and those that may reach 0.75 are
-   confirmed on full shingle sets.
+2. Equal word sequences become one node, with their least id: one partial
+   aggregation, so a large group of copies costs one row from then on.
+3. Star round: in each band bucket every node is paired with the bucket's least
+   node only. The similarity of pairs is estimated from the packed signatures by
+   bit counts, corrected for chance collisions of 2^-4, and those that may reach
+   0.75 are confirmed on full shingle sets.
 4. Confirmed links give components. Buckets that still hold several components
-   go through a block-wise comparison of packed signatures across components
-   (never within one, where a further link would change nothing); what passes
-   the estimate is confirmed on full sets within the block. So each pair of a
-   bucket is either compared or already connected: no bucket is capped, no
-   group is expanded, and no pairs but links leave a task.
+   are dealt out as pairs of blocks: the largest component is cut into blocks of
+   its own, which meet the other blocks only, as a further link within it would
+   change nothing. A first pass over packed signatures names the nodes that some
+   estimate may link with another component; only those come again with their
+   sets, and are confirmed in their pair of blocks. So each pair of a bucket is
+   either compared or already connected: no bucket is capped, no group is
+   expanded, and no pairs but links leave a task.
 
-Buckets larger than ``BLOCK`` rows are dealt out as pairs of blocks. The
-estimate's margin is ``MARGIN`` standard deviations, so it loses no real link
-beyond what the bands lose.
+A block has ``BLOCK`` rows or somewhat more. The estimate's margin is ``MARGIN``
+standard deviations, so it loses no real link beyond what the bands lose.
 
 Defined results: a null text has no words; a row with a null id is reported
 with its own size, component null and kept true; rows that repeat an id are
-judged by their own texts. An empty table gives no rows.
+judged by their own texts, each a node. An empty table gives no rows; further
+columns are not read. Very long texts are taken one at a time.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ MARGIN = 5.0
 #: Bytes of texts or sets taken at once.
 PIECE = 4 << 20
 #: Rows of a bucket compared at once.
-BLOCK = 1024
+BLOCK = 512
 
 _RNG = np.random.default_rng(20240607)
 _MUL = (_RNG.integers(0, 2**32, HASHES, dtype=np.uint32) | 1)[:, None]
@@ -135,6 +137,11 @@ def least_matches() -> int:
     return math.floor(HASHES * p - MARGIN * math.sqrt(HASHES * p * (1 - p)))
 
 
+def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the similarity estimated from packed signatures comes near enough to the threshold."""
+    return estimate(agreements(a, b)) >= estimate(least_matches()) - 1e-9
+
+
 def _sketch(batches):
     hashes = _WordHashes()
     for batch in (piece for whole in batches for piece in slices(whole, "text", PIECE)):
@@ -157,35 +164,40 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 batch["id"],
+                batch["hash"],
                 pa.array(digests, pa.binary()),
                 pa.array(sizes, pa.int64()),
                 pa.array([x.tobytes() for x in packed], pa.binary()),
                 bands,
             ],
-            ["id", "words", "n_shingles", "sig", "bands"],
+            ["id", "hash", "words", "n_shingles", "sig", "bands"],
         )
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id, words (digest, null without words), n_shingles, sig, bands."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_sketch, "id long, words binary, n_shingles long, sig binary, bands array<long>")
+    """A row for each row of docs: id, hash (of the text), words (digest, null without words), n_shingles, sig, bands."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(_sketch, "id long, hash long, words binary, n_shingles long, sig binary, bands array<long>")
 
 
 def _shingles(batches):
+    """Sets of texts, of rows that share an id those whose text is the node's."""
     hashes = _WordHashes()
     for batch in (piece for whole in batches for piece in slices(whole, "text", PIECE)):
+        own = pa.array([a == b for a, b in zip(batch["hash"].to_pylist(), batch["of"].to_pylist())], pa.bool_())
+        batch = batch.filter(own)
         sets = [shingle_set(words_of(t), hashes).tobytes() for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], ["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "shingles"])
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, HASHES * BITS // 64)
 
 
 def _estimated(batches):
     """Keeps pairs whose packed signatures may belong to linked documents."""
-    least = least_matches()
     for batch in batches:
-        a = np.frombuffer(b"".join(batch["sig_a"].to_pylist()), np.uint64).reshape(-1, HASHES * BITS // 64)
-        b = np.frombuffer(b"".join(batch["sig_b"].to_pylist()), np.uint64).reshape(-1, HASHES * BITS // 64)
-        ok = pa.array(agreements(a, b) >= least)
+        ok = pa.array(may_link(_signatures(batch["sig_a"]), _signatures(batch["sig_b"])))
         yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok)], ["a", "b"])
 
 
@@ -204,8 +216,8 @@ def _confirmed(batches):
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) confirmed on full sets. A hub's set goes once to each task that needs it; hot hubs are split by AQE."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return met.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
 
@@ -217,143 +229,193 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return THRESHOLD[1] * common >= THRESHOLD[0] * (len(x) + len(y) - common)
 
 
+def _groups(batches, names=("key", "i", "j")):
+    """(values of names, table) of each run of equal values, over batches sorted by them."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch[c].to_numpy() for c in names])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            here = tuple(k[:, lo].tolist())
+            if here != key:
+                if held:
+                    yield key, pa.Table.from_batches(held)
+                key, held = here, []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _to_compare(key, comp, n, blk):
+    """For each row of a pair of blocks, the later rows of another component, of the other block if there are two, whose sizes allow the threshold."""
+    for k in range(len(comp) - 1):
+        rest = slice(k + 1, None)
+        small, large = np.minimum(n[rest], n[k]), np.maximum(n[rest], n[k])
+        ok = (comp[rest] != comp[k]) & (THRESHOLD[1] * small >= THRESHOLD[0] * large)
+        if key[1] != key[2]:
+            ok &= blk[rest] != blk[k]
+        at = np.flatnonzero(ok) + k + 1
+        if len(at):
+            yield k, at
+
+
+def _meeting(batches):
+    """(node, comp, blk, key, i, j) of the rows that an estimate may link with another component of their pair of blocks."""
+    for key, table in _groups(batches):
+        comp, n, blk = (table[c].to_numpy() for c in ("comp", "n_shingles", "blk"))
+        sig, met = _signatures(table["sig"]), np.zeros(len(comp), bool)
+        for k, at in _to_compare(key, comp, n, blk):
+            alike = may_link(sig[at], sig[k])
+            met[at[alike]] = True
+            met[k] |= alike.any()
+        if met.any():
+            rows = table.select(["node", "comp", "blk", "key", "i", "j"]).filter(pa.array(met))
+            yield from rows.combine_chunks().to_batches()
+
+
 def _across(batches):
     """Confirmed links between components within each (bucket, block, block). Input sorted by these.
 
     A pair is looked at in the first bucket that both are in, unless links found
     in this block connect it already; so links are at most the rows of a block.
     """
-    least, width = least_matches(), HASHES * BITS // 64
-    key, held = None, []
-
-    def links(table: pa.Table):
-        ids = table["id"].to_numpy()
-        if len(ids) < 2:
-            return None
+    for key, table in _groups(batches):
+        nodes, sets = table["node"].to_numpy(), table["shingles"]
         root, n, blk = (table[c].to_numpy().copy() for c in ("comp", "n_shingles", "blk"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64).reshape(-1, width)
-        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        sets = table["shingles"]
-        here, same = key[0], key[1] == key[2]
+        sig, bands = _signatures(table["sig"]), table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         found = []
-        for k in range(len(ids) - 1):
-            rest = slice(k + 1, None)
-            small, large = np.minimum(n[rest], n[k]), np.maximum(n[rest], n[k])
-            ok = (root[rest] != root[k]) & (THRESHOLD[1] * small >= THRESHOLD[0] * large)
-            if not same:
-                ok &= blk[rest] != blk[k]
-            at = np.flatnonzero(ok) + k + 1
-            if not len(at):
-                continue
-            alike = agreements(sig[at], sig[k])
-            at, alike = at[alike >= least], alike[alike >= least]
+        for k, at in _to_compare(key, root, n, blk):
+            at = at[may_link(sig[at], sig[k])]
             if not len(at):
                 continue
             common = bands[at] == bands[k]
-            at, alike = (v[bands[k][common.argmax(axis=1)] == here] for v in (at, alike))
+            at = at[bands[k][common.argmax(axis=1)] == key[0]]
             x = None
-            for c in at[np.argsort(-alike, kind="stable")].tolist():
+            for c in at[np.argsort(-agreements(sig[at], sig[k]), kind="stable")].tolist():
                 if root[c] == root[k]:
                     continue
                 x = np.frombuffer(sets[k].as_py(), np.uint64) if x is None else x
                 if _linked(x, np.frombuffer(sets[c].as_py(), np.uint64)):
-                    found.append((ids[k], ids[c]))
+                    found.append((nodes[k], nodes[c]))
                     root[root == root[c]] = root[k]
-        if not found:
-            return None
-        both = np.array(found, np.int64).T
-        return pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
+        if found:
+            both = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.stack([batch[c].to_numpy() for c in ("key", "i", "j")])
-        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            here = tuple(k[:, lo].tolist())
-            if here != key:
-                if held and (out := links(pa.Table.from_batches(held))) is not None:
-                    yield out
-                key, held = here, []
-            held.append(batch.slice(lo, hi - lo))
-    if held and (out := links(pa.Table.from_batches(held))) is not None:
-        yield out
+
+def _dealt(labelled: DataFrame) -> DataFrame:
+    """(node, key, comp, blk, i, j) for each pair of blocks that a node of a bucket with several components is in.
+
+    Blocks 0 .. b - 1 hold the bucket's largest component, the others follow.
+    """
+    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    largest = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("comps"))
+    open_keys = largest.where("comps > 1").select(
+        "key",
+        F.col("top.comp").alias("large"),
+        F.ceil(F.col("top.n") / BLOCK).cast("int").alias("b"),
+        F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("o"),
+    )
+    place = F.xxhash64("node", "key")
+    mine = F.col("comp") == F.col("large")
+    rows = labelled.join(open_keys, "key").withColumn(
+        "blk", F.when(mine, F.pmod(place, F.col("b"))).otherwise(F.col("b") + F.pmod(place, F.col("o"))).cast("int")
+    )
+    others = F.sequence(F.when(mine, F.col("b")).otherwise(F.lit(0)), F.col("b") + F.col("o") - 1)
+    return rows.withColumn("other", F.explode(others)).select(
+        "node", "key", "comp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of docs."""
+    rows, labels = _labelled(docs, id_col, text_col)
+    out = rows.select("id", "n_shingles", "words").join(labels, F.col("words") == F.col("w"), "left")
+    component = F.when(F.col("words").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("id").isNotNull(), component)
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+    )
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The written sketches of docs, and (w, rep, component_id, best) for each sequence of words: its least id, that of its component, and whether it is the component's one to keep."""
     spark = docs.sparkSession
     text_batches(spark)
     rows = materialize(sketches(docs, id_col, text_col), "minhash-sketch")
     some = rows.where("words is not null and id is not null")
-    reps = some.groupBy("words").agg(F.min("id").alias("rep"))
+    reps = materialize(some.groupBy("words").agg(F.min("id").alias("rep")), "minhash-reps")
     least = reps.select(F.col("words").alias("w"), "rep")
-    nodes = materialize(
-        some.join(least, (F.col("id") == F.col("rep")) & (F.col("words") == F.col("w")), "left_semi")
-        .select("id", "n_shingles", "sig", "bands")
-        .dropDuplicates(["id"]),
-        "minhash-nodes",
-    )
-    members = nodes.select("id", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    mine = some.join(least, (F.col("id") == F.col("rep")) & (F.col("words") == F.col("w")), "left_semi")
+    nodes = materialize(mine.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    repeated = nodes.count() > reps.count()
+    if repeated:
+        once = nodes.dropDuplicates(["words"])
+        held, nodes = nodes, materialize(once, "minhash-nodes")
+        release(held)
+    members = nodes.select("node", F.explode("bands").alias("key"))
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
     buckets = materialize(members.join(hubs, "key"), "minhash-buckets")
 
-    sig_a = nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-    sig_b = nodes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    star = buckets.where("id > hub").select(F.col("id").alias("b"), F.col("hub").alias("a")).distinct()
+    sig_a = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+    sig_b = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    star = buckets.where("node > hub").select(F.col("node").alias("b"), F.col("hub").alias("a")).distinct()
     star = star.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated, "a long, b long")
     star = materialize(star, "minhash-star")
 
-    wanted = materialize(buckets.select("id").distinct(), "minhash-wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
+    wanted = materialize(wanted.select("id", "node", F.col("hash").alias("of")), "minhash-wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = materialize(
-        texts.join(chosen, "id", "left_semi").mapInArrow(_shingles, "id long, shingles binary"), "minhash-sets"
-    )
+    sets = texts.join(chosen, "id").select("node", "hash", "of", "text").mapInArrow(_shingles, "node long, shingles binary")
+    sets = materialize(sets.dropDuplicates(["node"]) if repeated else sets, "minhash-sets")
     links = materialize(_links(star, sets), "minhash-links")
     first = materialize(connected_components(links), "minhash-first")
 
-    labelled = buckets.join(first, "id", "left").select(
-        "id", "key", "size", F.coalesce("component", "id").alias("comp")
-    )
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_rows = (
-        labelled.join(open_keys, "key")
-        .join(nodes.select("id", "n_shingles", "sig", "bands"), "id")
-        .join(sets, "id")
-        .withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("id", "key", "comp", "n_shingles", "sig", "bands", "shingles", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+    labelled = buckets.join(first.withColumnRenamed("id", "node"), "node", "left").select(
+        "node", "key", F.coalesce("component", "node").alias("comp")
     )
+    pair = ["key", "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = open_rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    extra = materialize(dealt.mapInArrow(_across, "a long, b long"), "minhash-across")
+    small = nodes.select("node", "n_shingles", "sig")
+    open_rows = _dealt(labelled).join(small, "node").repartition(parts, *pair).sortWithinPartitions(*pair)
+    met = materialize(open_rows.mapInArrow(_meeting, "node long, comp long, blk int, key long, i int, j int"), "minhash-met")
+    again = met.join(nodes.select("node", "n_shingles", "sig", "bands"), "node").join(sets, "node")
+    again = again.repartition(parts, *pair).sortWithinPartitions(*pair)
+    extra = materialize(again.mapInArrow(_across, "a long, b long"), "minhash-across")
     final = materialize(connected_components(links.unionByName(extra)), "minhash-final")
-    for done in (nodes, buckets, star, wanted, sets, links, first, extra):
+    for done in (buckets, star, wanted, sets, links, first, met, extra):
         release(done)
 
-    # Written, so that the lookup below has an exchange on either side and AQE may split a hot text.
-    labels = reps.join(final, F.col("rep") == F.col("id"), "left").select(
-        F.col("words").alias("w"), F.coalesce("component", "rep").alias("component_id")
+    named = nodes.select("node", F.col("words").alias("w"), F.col("id").alias("rep")).join(
+        final.withColumnRenamed("id", "node"), "node", "left"
     )
+    named = named.select("node", "w", "rep", F.coalesce("component", "node").alias("c"))
+    best = named.groupBy("c").agg(F.min(F.struct("rep", "node")).alias("b"))
+    # Written, so that the lookup of rows has an exchange on either side and AQE may split a hot text.
+    labels = named.join(best, "c").select("w", "rep", F.col("b.rep").alias("component_id"), (F.col("b.node") == F.col("node")).alias("best"))
     labels = materialize(labels, "minhash-labels")
-    out = rows.select("id", "n_shingles", "words").join(labels, F.col("words") == F.col("w"), "left")
-    component = F.when(F.col("words").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    component = F.when(F.col("id").isNotNull(), component)
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
+    for done in (nodes, reps, final):
+        release(done)
+    return rows, labels
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which each component keeps its least id; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    gone = small_side(gone)
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of docs of which each component keeps its least id, and of texts that share that id one; rows with a null id and repeated rows of what is kept stay."""
+    rows, labels = _labelled(docs, id_col, text_col)
+    met = rows.where("id is not null").join(labels, F.col("words") == F.col("w"))
+    met = met.where(~F.col("best") | (F.col("id") != F.col("rep"))).select(F.col("id").alias("_gone"), F.col("hash").alias("_hash"))
+    gone = small_side(met.distinct())
+    release(rows)
+    release(labels)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    left = docs.select(row, F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_own"))
+    return left.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_own") == F.col("_hash")), "left_anti").select("_row.*")
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
