@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.session import materialize
+from tallygrove.session import materialize, release, small_side
 
 WINDOW = 8
 LEAST_WORDS = 50
@@ -183,26 +183,19 @@ def distance(a: Column, b: Column) -> Column:
     return F.when((na > 0) & (nb > 0), F.sqrt(F.greatest(inner, F.lit(0.0))))
 
 
-def judge(
-    docs: DataFrame,
-    text_col: str = "text",
-    lang_col: str = "lang",
-    char_limit: float = CHAR_LIMIT,
-    word_limit: float = WORD_LIMIT,
-    keep_text: bool = True,
-) -> DataFrame:
-    """docs with the base counts, base_failed, char_distance, word_distance and kept.
+#: Columns that judge() adds.
+RESULTS = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept",
+]
 
-    Texts are measured once and written with docs to the shared folder, as both
-    the references and the verdicts read the measures.
-    """
-    m = measured(docs, text_col, lang_col)
-    m = materialize(m if keep_text else m.drop(text_col), "quality-measured")
-    refs = references(m, lang_col)
+
+def _judged(m: DataFrame, char_limit: float, word_limit: float) -> DataFrame:
+    """Written measures, with the distances and kept."""
+    refs = references(m, "_lang")
     # One row of at most one array for each language.
     nearest = refs.agg(F.collect_list("_ref_chars").alias("_all_chars"))
     own = refs.select("_ref", "_ref_common")
-    met = m.withColumn("_own", _known(lang_col)).join(F.broadcast(own), F.col("_own") == F.col("_ref"), "left")
+    met = m.withColumn("_own", _known("_lang")).join(F.broadcast(own), F.col("_own") == F.col("_ref"), "left")
     met = met.crossJoin(F.broadcast(nearest))
     enough = F.col("n_words") >= LEAST_WORDS
     large = _sum(F.transform("_ref_common", lambda v: v.cast("double"))) >= LEAST_REFERENCE
@@ -211,23 +204,53 @@ def judge(
     far = F.coalesce(F.col("char_distance") > char_limit, F.lit(False)) | F.coalesce(
         F.col("word_distance") > word_limit, F.lit(False)
     )
-    met = met.withColumn("kept", ~F.col("base_failed") & ~far)
-    return met.drop("_chars", "_common", "_own", "_ref", "_all_chars", "_ref_common")
+    return met.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.col(text_col).alias("text"),
-        F.col(lang_col).alias("lang"),
-    )
-    return judge(packed, keep_text=False).where("kept").select("_row.*")
+def _packed(docs: DataFrame, columns: list[str], text_col: str, lang_col: str) -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None)
+    return docs.select(row.alias("_row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("_lang"))
+
+
+def judge(
+    docs: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    char_limit: float = CHAR_LIMIT,
+    word_limit: float = WORD_LIMIT,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """docs, or its ``columns``, with the base counts, base_failed, char_distance, word_distance and kept, which replace columns of these names.
+
+    Texts are measured once and written with those columns to the shared folder,
+    as both the references and the verdicts read the measures.
+    """
+    columns = [c for c in (docs.columns if columns is None else columns) if c.lower() not in RESULTS]
+    m = materialize(measured(_packed(docs, columns, text_col, lang_col), "text", "_lang").drop("text"), "quality-measured")
+    return _judged(m, char_limit, word_limit).select(*[F.col(f"_row.`{c}`") for c in columns], *RESULTS)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with their own columns.
+
+    Only ids, text hashes and languages of rejected rows are joined with docs;
+    rows that share all three have one text and one verdict.
+    """
+    keys = {"_i": F.col(f"`{id_col}`"), "_h": F.xxhash64(F.col(f"`{text_col}`")), "_l": F.col(f"`{lang_col}`")}
+    keyed = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(f"`{text_col}`").alias("text"))
+    m = materialize(measured(_packed(keyed, list(keys), "text", "_l"), "text", "_lang").drop("text"), "quality-measured")
+    gone = _judged(m, CHAR_LIMIT, WORD_LIMIT).where("not kept").select([F.col(f"_row.{k}").alias(f"_gone{k}") for k in keys])
+    gone = small_side(gone.distinct())
+    release(m)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    left = docs.select(row, *[c.alias(k) for k, c in keys.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_gone{k}")) for k in keys]
+    return left.join(gone, same, "left_anti").select("_row.*")
 
 
 def op4_divergence(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs.select("doc_id", "text", "lang"), keep_text=False).select(
+    return judge(docs, columns=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
