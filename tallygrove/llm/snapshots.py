@@ -1,4 +1,4 @@
-"""Chat formatting with collapse of cumulative snapshots.
+r"""Chat formatting with collapse of cumulative snapshots.
 
 A logged conversation that is a prefix of a longer one (or equal to one with a
 smaller id) is dropped; the rest are rendered. Each conversation's turns are
@@ -8,7 +8,9 @@ conversations are anti-joined with the distinct digests of proper prefixes.
 
 Turns go by (turn, role, text), nulls first. A null role or text hashes apart
 from the empty string and renders as it. A null conversation id is a
-conversation of its own. Repeated rows are repeated turns. Conversations of
+conversation of its own. Repeated rows are repeated turns; further columns are
+not read. In roles and texts ``<|`` renders as ``<\|``, so that no text can
+open or close a turn. Conversations of
 any length stream through a task; a hot first turn or a hot conversation is
 aggregated to one row for its digest before the join.
 """
@@ -19,10 +21,10 @@ import hashlib
 import struct
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.session import text_batches
+from tallygrove.session import materialize, release, text_batches
 
 #: A turn as text; <|role|> opens it, <|end|> closes it.
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
@@ -68,14 +70,21 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
     )
-    prefixes = ordered.mapInArrow(_prefix_digests, "conv_id long, n_turns long, digest binary, whole boolean")
+    # Written, as it is read for whole and for proper prefixes.
+    prefixes = materialize(ordered.mapInArrow(_prefix_digests, "conv_id long, n_turns long, digest binary, whole boolean"), "chat-prefixes")
     wholes = (
         prefixes.where("whole")
         .groupBy("digest", "n_turns")
         .agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     )
     proper = prefixes.where("not whole").select("digest", "n_turns").distinct()
-    return wholes.join(proper, ["digest", "n_turns"], "left_anti").select("conv_id", "n_turns", "n_copies")
+    kept = materialize(wholes.join(proper, ["digest", "n_turns"], "left_anti").select("conv_id", "n_turns", "n_copies"), "chat-kept")
+    release(prefixes)
+    return kept
+
+
+def _plain(value: Column) -> Column:
+    return F.replace(F.coalesce(value, F.lit("")), F.lit("<|"), F.lit("<\\|"))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -83,7 +92,7 @@ def render(turns: DataFrame) -> DataFrame:
     row = F.struct("turn", "role", "text")
     packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row), _turn_order).alias("_t"))
     one = lambda t: F.concat(
-        F.lit("<|"), F.coalesce(t["role"], F.lit("")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit(CLOSE)
+        F.lit("<|"), _plain(t["role"]), F.lit("|>\n"), _plain(t["text"]), F.lit(CLOSE)
     )
     return packed.select("conv_id", F.array_join(F.transform("_t", one), "").alias("text"))
 
@@ -113,7 +122,7 @@ def op10_chat_snapshots(spark, sf_dir: str) -> DataFrame:
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-ORACLE = """
+ORACLE = r"""
 WITH t AS (
   SELECT conv_id, turn, role, text,
          row_number() OVER w AS n,
@@ -126,7 +135,7 @@ l AS (SELECT *, max(n) OVER (PARTITION BY conv_id) AS last FROM t),
 whole AS (SELECT prefix, min(conv_id) AS conv_id, max(n) AS n_turns, count(*) AS n_copies FROM l WHERE n = last GROUP BY prefix),
 kept AS (SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM l WHERE n < last))
 SELECT k.conv_id, k.n_turns, k.n_copies,
-       string_agg('<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10), '' ORDER BY t.n) AS text
+       string_agg('<|' || replace(coalesce(t.role, ''), '<|', '<\|') || '|>' || chr(10) || replace(coalesce(t.text, ''), '<|', '<\|') || '<|end|>' || chr(10), '' ORDER BY t.n) AS text
 FROM kept k JOIN t ON t.conv_id = k.conv_id
 GROUP BY k.conv_id, k.n_turns, k.n_copies
 """
