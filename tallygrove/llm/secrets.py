@@ -6,14 +6,18 @@ optional quote; values have six characters or more and hold no blank, quote or
 =. Features of a candidate: its length, transitions
 between character classes, shares of classes, whether it is hexadecimal,
 coverage by dictionary words and by repeats of one letter, hints in its path
-and its neighbouring words. The forest is fitted on labelled findings: a table
-(before, candidate, after, path, is_secret) of the caller's, or the built-in
-generator of findings, ``FINDINGS`` rows by rule from hashes of the row number,
-which is the documented bound of the sample.
+and its neighbouring words. The dictionary is the corpus: words of letters in
+``DOCUMENTS`` documents or more. The forest is fitted on labelled findings: a
+table (before, candidate, after, path, is_secret) of the caller's, or the
+built-in ones, ``FINDINGS`` rows by rule from hashes of the row number and half
+of those written by hand, which is the documented bound of the sample; the
+other half measures it.
 
 Defined results: null texts and paths count as empty; a text without
 candidates has no findings; rows are scanned one by one, so repeated rows
-repeat their findings; an empty table gives no rows.
+repeat their findings; of overlapping candidates the first counts; texts of any
+length are scanned whole; an empty table gives no rows; further columns are not
+read.
 """
 
 from __future__ import annotations
@@ -25,10 +29,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.llm.findings import HAND_WRITTEN
 from tallygrove.llm.spans import matches
+from tallygrove.session import materialize, small_side
 
 #: Rows of the built-in labelled findings.
 FINDINGS = 3000
+#: Documents that hold a word of the dictionary at least.
+DOCUMENTS = 5
 TREES, DEPTH, SEED = 25, 8, 11
 #: Characters on either side that count as neighbouring words.
 NEAR = 32
@@ -49,12 +57,6 @@ ASSIGNED_GUARD = r"(?i:password|passwd|secret|api_key|apikey|token|access_key)[\
 SECRET_WORDS = "password|passwd|pwd|secret|token|api_?key|apikey|auth|bearer|credential|private|access_key|akia"
 DIGEST_WORDS = "commit|sha1|sha256|sha512|md5|checksum|digest|etag|hash|uuid|guid|revision|blob|build|trace|request|session_count"
 HARMLESS_PATHS = "test|mock|fixture|example|sample|doc|lock|vendor|spec"
-DICTIONARY = (
-    "example|sample|test|dummy|fake|placeholder|change|your|user|name|admin|root|data|base|config|server|client|service|"
-    "manager|factory|handler|controller|request|response|value|index|table|string|number|object|array|list|file|path|"
-    "main|java|python|class|method|public|static|version|release|image|button|message|error|event|date|time|http|html|json"
-)
-
 FEATURES = [
     "f_length", "f_transitions", "f_lower", "f_upper", "f_digit", "f_other", "f_distinct", "f_hex", "f_dictionary",
     "f_repeat", "f_path", "f_secret_word", "f_digest_word", "f_assigned", "f_quoted", "f_aws",
@@ -65,8 +67,29 @@ def _left(candidate: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(candidate, pattern, ""))
 
 
+def _runs(candidate: Column) -> Column:
+    """The words that a candidate may be made of: runs of three letters or more, cut at capitals."""
+    return F.transform(F.regexp_extract_all(candidate, F.lit("[A-Z]?[a-z]{2,}+|[A-Z]{3,}+"), F.lit(0)), lambda w: F.lower(w))
+
+
+def dictionary(docs: DataFrame, candidates: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word): the words of candidates that DOCUMENTS or more rows of docs hold between other characters than letters."""
+    wanted = small_side(candidates.select(F.explode(_runs(F.col("candidate"))).alias("word")).where(F.length("word") >= 3).distinct())
+    held = F.array_distinct(F.split(F.lower(F.col(f"`{text_col}`")), "[^a-z]++"))
+    words = docs.select(F.explode(held).alias("word")).join(wanted, "word", "left_semi")
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= DOCUMENTS).select("word")
+
+
+def with_coverage(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """rows with _covered, the letters of the candidate in words of the dictionary."""
+    each = rows.select("candidate").distinct().select("candidate", F.explode(_runs(F.col("candidate"))).alias("word"))
+    known = each.join(words, "word", "left_semi").groupBy("candidate").agg(F.sum(F.length("word")).alias("_covered"))
+    known = known.withColumnRenamed("candidate", "_of")
+    return rows.join(known, F.col("candidate") == F.col("_of"), "left").drop("_of").fillna(0, ["_covered"])
+
+
 def features(rows: DataFrame) -> DataFrame:
-    """rows (before, candidate, after, path) with the numeric columns FEATURES."""
+    """rows (before, candidate, after, path, _covered) with the numeric columns FEATURES."""
     c, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1)).cast("double")
     low, before, after = F.lower("candidate"), F.lower(F.coalesce("before", F.lit(""))), F.coalesce("after", F.lit(""))
     share = lambda p: (F.length(c) - _left(c, p)) / n
@@ -85,7 +108,7 @@ def features(rows: DataFrame) -> DataFrame:
             "f_other": share("[^a-zA-Z0-9]+"),
             "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
             "f_hex": flag(low.rlike("^[0-9a-f-]+$")),
-            "f_dictionary": (F.length(low) - _left(low, f"(?:{DICTIONARY})")) / n,
+            "f_dictionary": F.col("_covered") / n,
             "f_repeat": (F.length(low) - _left(low, r"(.)\1{2,}")) / n,
             "f_path": flag(F.lower(F.coalesce("path", F.lit(""))).rlike(HARMLESS_PATHS)),
             "f_secret_word": flag(before.rlike(SECRET_WORDS)),
@@ -135,6 +158,21 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def hand_written(spark, part: int) -> DataFrame:
+    """(before, candidate, after, path, is_secret) of every second pair of hand-written findings, part 0 or 1; the last mark of a text counts."""
+    rows = []
+    for text, path, label in (x for k, x in enumerate(HAND_WRITTEN) if k // 2 % 2 == part):
+        head, _, rest = text.rpartition("[[")
+        candidate, _, after = rest.partition("]]")
+        before = head.replace("[[", "").replace("]]", "")
+        rows.append((before[-NEAR:], candidate, after[:NEAR], path, float(label)))
+    return spark.createDataFrame(rows, "before string, candidate string, after string, path string, is_secret double")
+
+
+#: Words that the generated findings are made of.
+NAMES = "example test user name config server client manager factory handler request value index table file main class method release image".split()
+
+
 def labelled_findings(spark, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
     """(before, candidate, after, path, is_secret): findings made by rule from hashes of their number."""
     h = lambda k: F.sha2(F.concat_ws("|", F.lit(seed), F.lit(k), F.col("id")), 512)
@@ -145,8 +183,7 @@ def labelled_findings(spark, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
     key = take("key", ["password", "secret", "token", "api_key", "auth_token", "passwd", "access_key"])
     joiner = take("join", ['="', ' = "', ": ", "=", ":", ": '"])
     filler = take("fill", ["the build of ", "see here ", "", "and then in ", "with all of ", "was found by "])
-    words = F.array(*[F.lit(w) for w in DICTIONARY.split("|")])
-    word = lambda k: F.initcap(F.element_at(words, pick(k, len(DICTIONARY.split("|"))) + 1))
+    word = lambda k: F.initcap(take(k, NAMES))
     name = F.concat(F.lower(word("w1")), word("w2"), word("w3"), word("w4"), pick("num", 90).cast("string"))
     digest = take("dig", ["commit", "sha256", "md5", "checksum", "etag", "revision", "uuid", "digest"])
     size = lambda s, lo, m: F.substr(s, F.lit(1), pick("len", m) + lo)
@@ -176,7 +213,7 @@ def labelled_findings(spark, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
 
 
 def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
-    """A forest on labelled findings."""
+    """A forest on labelled findings with their coverage."""
     stages = [
         VectorAssembler(inputCols=FEATURES, outputCol="_features"),
         RandomForestClassifier(
@@ -196,10 +233,19 @@ def scan(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row for each candidate: id, path, start, end, candidate, score, is_secret."""
-    model = model or fit(labelled_findings(docs.sparkSession))
-    scored = model.transform(features(candidates(docs, id_col, text_col, path_col)))
+    spark = docs.sparkSession
+    found = materialize(candidates(docs, id_col, text_col, path_col).withColumnRenamed(id_col, "_id"), "secret-candidates")
+    findings = labelled_findings(spark).unionByName(hand_written(spark, 0))
+    # The generated findings' own words count as words too.
+    own = spark.createDataFrame([(w,) for w in NAMES], "word string")
+    words = dictionary(docs, found.select("candidate").unionByName(findings.select("candidate")), text_col)
+    words = small_side(words.unionByName(own).distinct())
+    model = model or fit(with_coverage(findings, words))
+    scored = model.transform(features(with_coverage(found, words)))
     score = F.get(vector_to_array("_probability"), F.lit(1))
-    return scored.select(id_col, "path", "start", "end", "candidate", score.alias("score"), (score >= threshold).alias("is_secret"))
+    return scored.select(
+        F.col("_id").alias(id_col), "path", "start", "end", "candidate", score.alias("score"), (score >= threshold).alias("is_secret")
+    )
 
 
 def op2_secret_forest(spark, sf_dir: str) -> DataFrame:
