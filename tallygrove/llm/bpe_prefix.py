@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallygrove.llm.arrow import slices
 from tallygrove.session import text_batches
@@ -233,8 +234,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """coded with the text of its ids."""
-    schema = coded.schema.simpleString()[len("struct<") : -1]
+    """coded with the text of its ids in out_col, which replaces a column of that name."""
+    coded = coded.select(*[F.col(f"`{c}`") for c in coded.columns if c.lower() != out_col.lower()])
     names = coded.columns
 
     def run(batches):
@@ -244,7 +245,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
                 texts = pa.array([bpe.decode(x) for x in part[ids_col].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*names, out_col])
 
-    return coded.mapInArrow(run, f"{schema}, {out_col}:string".replace(":", " "))
+    return coded.mapInArrow(run, StructType([*coded.schema.fields, StructField(out_col, StringType())]))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

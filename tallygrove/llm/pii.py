@@ -172,9 +172,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ),
         lambda t: F.concat(t["out"], F.substr(F.col("_text"), t["at"] + 1)),
     )
-    held = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    held = docs.select(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     held = held.withColumn("_pii", find_spans(F.col("_text")))
-    return held.withColumn(text_col, F.when(F.col(text_col).isNotNull(), folded)).drop("_text", "_pii")
+    held = held.withColumn("_out", F.when(F.col(f"_row.`{text_col}`").isNotNull(), folded))
+    return held.select(*[F.col("_out").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def _listed(spans: Column) -> Column:

@@ -93,7 +93,7 @@ def mix(
     epochs: float = 1.0,
     shuffle: bool = True,
 ) -> DataFrame:
-    """Rows of docs repeated to the target weights: all columns, then _copy from 1 and _order, the shuffle key.
+    """Rows of docs repeated to the target weights: all columns, then _copy from 1 and _order, the shuffle key, which replace columns of these names.
 
     Rates have one row for each source; they are broadcast if counted to be at
     most BROADCAST_SOURCES, and else joined by source with hot sources split by
@@ -104,9 +104,8 @@ def mix(
     few = rates.count() <= BROADCAST_SOURCES
     rates = rates.select("_source", _first(F.col("rate")).alias("_least"), _distribution(F.col("rate")).alias("_cdf"))
     rates = F.broadcast(rates) if few else rates
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_s")
-    )
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("_copy", "_order")]
+    packed = docs.select(F.struct(*own).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_s"))
     joined = packed.join(rates, F.col("_s").eqNullSafe(F.col("_source")))
     u = uniform(F.lit(seed), F.col("_id"))
     counted = joined.withColumn("_n", F.col("_least") + F.size(F.filter("_cdf", lambda c: c <= u)))
