@@ -5,62 +5,42 @@ return the columns of documents; the last returns doc_id, n_tokens and ids
 (little-endian unsigned 32-bit integers) for every copy that mixing made. Nulls,
 repeated rows and empty tables have the results that the operators define.
 
-A stage's result is written before the next stage is called, so each stage
-first deletes the temporary tables of the stage whose result it reads.
+Stages may be called one on the other's result without writing it, and several
+pipelines at a time: what a stage leaves in the shared folder is a table of the
+ids it rejects, or of rates; run() deletes those of a stage once its result is
+written.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame
 
 from tallygrove.llm import bpe_prefix, exact_dedup, minhash_dedup, poisson_mix, quality_rules
-from tallygrove.session import delete, materialize, scratch
-
-_HELD: list[str] = []
+from tallygrove.session import delete, materialize, release, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _stage(work):
-    """work, with the temporary tables of the stage before deleted first."""
-
-    @wraps(work)
-    def run_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _HELD:
-            delete(spark, _HELD.pop())
-        with scratch(_HELD):
-            return work(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_stage
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.keep_good(docs).select(COLUMNS)
 
 
-@_stage
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
     return exact_dedup.deduplicate(docs).select(COLUMNS)
 
 
-@_stage
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return minhash_dedup.drop_near_duplicates(docs).select(COLUMNS)
 
 
-@_stage
 def mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to tempered source weights and shuffled."""
     return poisson_mix.mix(docs).select(COLUMNS)
 
 
-@_stage
 def encoding(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document."""
     return bpe_prefix.encode(docs, bpe_prefix.vocabulary())
@@ -81,7 +61,12 @@ ORACLE_SQL = None
 def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, "pipeline")
-    return docs
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        held: list[str] = []
+        with scratch(held):
+            out = stage(spark, docs, sf_dir)
+        before, docs = docs, materialize(out, "pipeline")
+        for path in held:
+            delete(spark, path)
+        release(before)
