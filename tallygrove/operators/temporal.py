@@ -112,14 +112,23 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
 
 
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], ts: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """Points in [start, end) of spans of their key: an equi-join on (key, day) with a residual, no nested loop."""
+    """Points in [start, end) of spans of their key: an equi-join on (key, day) with a residual, no nested loop.
+
+    A null start or end is open. Spans get cells between the least and the
+    greatest point only; empty ones get none.
+    """
     cell = lambda c: F.floor(micros(F.col(c)) / DAY)
-    cells = F.sequence(cell(start), F.floor((micros(F.col(end)) - 1) / DAY))
-    s = spans.where(F.col(start) < F.col(end)).withColumn("_cell", F.explode(cells))
+    bounds = points.agg(F.min(micros(F.col(ts))).alias("_least"), F.max(micros(F.col(ts))).alias("_most"))
+    first = F.greatest(micros(F.col(start)), F.col("_least"))
+    last = F.least(micros(F.col(end)) - 1, F.col("_most"))
+    cells = F.sequence(F.floor(first / DAY), F.floor(last / DAY))
+    some = F.coalesce(F.col(start) < F.col(end), F.lit(True)) & (first <= last)
+    s = spans.crossJoin(F.broadcast(bounds)).withColumn("_cell", F.explode(F.when(some, cells))).drop("_least", "_most")
     s = s.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *[c for c in s.columns if c not in keys])
     p = points.withColumn("_pcell", cell(ts))
     on = [F.col(k) == F.col(f"_s_{k}") for k in keys]
-    cond = (F.col("_pcell") == F.col("_cell")) & (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))
+    inside = F.coalesce(F.col(ts) >= F.col(start), F.lit(True)) & F.coalesce(F.col(ts) < F.col(end), F.lit(True))
+    cond = (F.col("_pcell") == F.col("_cell")) & inside
     for c in on:
         cond = cond & c
     return p.join(s, cond, how).drop("_cell", "_pcell", *[f"_s_{k}" for k in keys])

@@ -27,11 +27,13 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def tfidf(tf: DataFrame, dfs: DataFrame, n: Column, id_col: str) -> DataFrame:
-    """(id, token, w): (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), L2-normalised by document."""
+def tfidf(tf: DataFrame, dfs: DataFrame, n: Column, id_col: str, only: DataFrame | None = None) -> DataFrame:
+    """(id, token, w): (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), L2-normalised by document over all its tokens; rows of the tokens of ``only`` if given."""
     w = (1 + F.log("tf")) * (F.log((n + 1) / (F.col("df") + 1)) + 1)
     raw = tf.join(dfs, "token").select(id_col, "token", w.alias("w"))
     norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    if only is not None:
+        raw = tf.join(only, "token", "left_semi").join(dfs, "token").select(id_col, "token", w.alias("w"))
     return raw.join(norm, id_col).select(id_col, "token", (F.col("w") / F.col("_norm")).alias("w"))
 
 

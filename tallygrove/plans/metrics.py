@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallygrove.operators import metrics as M
-from tallygrove.plans.shared import both
 from tallygrove.plans.temporal import REPORTS, reports
 from tallygrove.session import table
 
@@ -151,9 +150,10 @@ def embedding_ranks(spark, sf, k=10):
     return embedding_pairs(spark, sf).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-EMB = """ranks AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
+EMB_ALL = """ranks AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
  q.label AS query_label, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
- FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 10)"""
+ FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)"""
+EMB = EMB_ALL.replace("ranks AS (", "ranks AS (SELECT * FROM (", 1) + " WHERE rank <= 10)"
 
 
 def embedding_topk(spark, sf):
@@ -191,39 +191,6 @@ def latency_percentiles(spark, sf):
     )
 
 
-_weekly, WEEKLY = both(
-    """SELECT extract(YEAROFWEEK FROM ts) AS iso_year, extract(WEEK FROM ts) AS iso_week, count(*) AS n, count(DISTINCT user_id) AS owners,
- avg(CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS DOUBLE)) AS error_rate FROM {events} GROUP BY 1, 2"""
-)
-_field, FIELD = both(
-    """SELECT count(*) AS n, avg(CASE WHEN l.quality = (CASE WHEN d.n_chars >= 1200 THEN 1 ELSE 0 END) THEN 1.0 ELSE 0.0 END) AS quality_accuracy,
- avg(CASE WHEN l.toxic = 0 THEN 1.0 ELSE 0.0 END) AS toxic_accuracy,
- avg(CASE WHEN l.quality = (CASE WHEN d.n_chars >= 1200 THEN 1 ELSE 0 END) AND l.toxic = 0 THEN 1.0 ELSE 0.0 END) AS exact_match,
- sum(CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END) AS missing_prediction, sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS extra_prediction
- FROM {labels} l FULL OUTER JOIN {documents} d ON l.doc_id = d.doc_id"""
-)
-_risk, RISK = both(
-    """WITH p AS (SELECT doc_id, least(n_chars, 4000) / 4000.0 AS conf, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS ok FROM {labels} JOIN {documents} USING (doc_id)),
- g AS (SELECT conf, count(*) AS n, sum(ok) AS k FROM p GROUP BY conf),
- c AS (SELECT conf, sum(n) OVER (ORDER BY conf DESC) AS answered, sum(k) OVER (ORDER BY conf DESC) AS good, sum(n) OVER () AS total FROM g)
- SELECT conf AS threshold, answered, answered * 1.0 / total AS coverage, good * 1.0 / answered AS accuracy, 1 - good * 1.0 / answered AS risk FROM c"""
-)
-_bins, BINS = both(
-    """SELECT least(floor(least(n_chars, 4000) / 400.0), 9) AS bin, count(*) AS n, avg(quality) AS accuracy, avg(least(n_chars, 4000) / 4000.0) AS confidence
- FROM {labels} JOIN {documents} USING (doc_id) GROUP BY 1"""
-)
-_group, GROUP = both(
-    """WITH g AS (SELECT lang, source, count(*) AS n, avg(quality) AS acc FROM {labels} JOIN {documents} USING (doc_id) GROUP BY lang, source)
- SELECT lang, count(*) AS sources, sum(n) AS n, avg(acc) AS macro_accuracy, avg(CASE WHEN n >= 3 THEN acc END) AS macro_min_rows FROM g GROUP BY lang"""
-)
-_imbalance, IMBALANCE = both(
-    """WITH c AS (SELECT source, count(*) AS n FROM {documents} GROUP BY source)
- SELECT count(*) AS classes, max(n) * 1.0 / min(n) AS imbalance, max(n) * 1.0 / sum(n) AS top_share, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS singletons FROM c"""
-)
-_top, TOP = both(
-    """WITH c AS (SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type), t AS (SELECT sum(n) AS total FROM c)
- SELECT event_type, n, n * 1.0 / total AS share FROM c, t ORDER BY n DESC, event_type LIMIT 3"""
-)
 def sample_size_plan(spark, sf):
     """Fewest rows for which the lower Wilson bound is within 0.05 of an accuracy."""
     n = spark.range(1, 5001).select(F.col("id").alias("n"), F.explode(F.array(F.lit(0.9), F.lit(0.95), F.lit(0.98))).alias("p"))
@@ -254,8 +221,8 @@ QUERIES = {
     "confusion_matrix": confusion_matrix, "label_scores": label_scores, "macro_scores": macro_scores, "priority_metrics": priority_metrics,
     "threshold_sweep": threshold_sweep, "best_threshold": best_threshold, "auroc": auroc, "calibration_ece": calibration_ece, "psi_drift": psi_drift,
     "wilson_by_group": wilson_by_group, "embedding_topk": embedding_topk, "map_mrr_recall": map_mrr_recall, "owner_entropy": owner_entropy,
-    "latency_percentiles": latency_percentiles, "weekly_shadow": _weekly, "field_accuracy": _field, "risk_coverage": _risk, "confidence_bins": _bins,
-    "group_macro": _group, "class_imbalance": _imbalance, "top_values": _top, "sample_size_plan": sample_size_plan, "bootstrap_ci": bootstrap_ci,
+    "latency_percentiles": latency_percentiles,
+    "sample_size_plan": sample_size_plan, "bootstrap_ci": bootstrap_ci,
 }
 ORACLES = {
     "confusion_matrix": CONFUSION, "label_scores": LABELS, "macro_scores": MACRO, "priority_metrics": PRIORITY, "threshold_sweep": SWEEP,
@@ -266,6 +233,6 @@ ORACLES = {
  SELECT *, CASE WHEN "distinct" > 1 THEN entropy / ln("distinct") ELSE 0 END AS normalised FROM t""",
     "latency_percentiles": """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, median(value) AS median,
  avg(value) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1""",
-    "weekly_shadow": WEEKLY.replace("YEAROFWEEK", "ISOYEAR"), "field_accuracy": FIELD, "risk_coverage": RISK, "confidence_bins": BINS,
-    "group_macro": GROUP, "class_imbalance": IMBALANCE, "top_values": TOP, "sample_size_plan": SIZES, "bootstrap_ci": BOOT,
+   
+    "sample_size_plan": SIZES, "bootstrap_ci": BOOT,
 }

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallygrove.operators import records as C
 from tallygrove.operators import text as X
 from tallygrove.plans.metrics import EMB, PRED, embedding_ranks, predictions
-from tallygrove.plans.shared import both
 from tallygrove.plans.temporal import CUT, HISTORY, REPORTS, owner_history, reports
 from tallygrove.plans.text import _TOK, BM25
 from tallygrove.session import table
@@ -29,15 +28,15 @@ ALIAS = """WITH RECURSIVE a AS (SELECT c_custkey AS n, c_custkey // 2 AS t FROM
 def snapshot_labels(spark, sf):
     """Events with the weekly snapshot valid at their time."""
     ev = table(spark, sf, "events").select("event_id", "ts")
-    start = ev.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("s"))
-    weeks = spark.range(3).crossJoin(F.broadcast(start)).select(
-        F.col("id").alias("snapshot"), (F.col("s") + F.make_dt_interval(F.col("id") * 7)).alias("valid_from"), (F.col("s") + F.make_dt_interval(F.col("id") * 7 + 7)).alias("expires_at")
+    start = ev.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("s"), F.max("ts").alias("last"))
+    weeks = start.select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.datediff("last", "s") / 7).cast("long"))).alias("id")).select(
+        F.col("id").alias("snapshot"), (F.col("s") + F.make_dt_interval((F.col("id") * 7).cast("int"))).alias("valid_from"), (F.col("s") + F.make_dt_interval((F.col("id") * 7 + 7).cast("int"))).alias("expires_at")
     )
     return C.one_snapshot(ev, weeks, "event_id", "ts", "valid_from", "expires_at").select("event_id", "snapshot")
 
 
 SNAPSHOT = """WITH s AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS s FROM events)
- SELECT event_id, CASE WHEN ts < s + INTERVAL 21 DAY THEN floor(date_diff('second', s, ts) / 604800)::BIGINT END AS snapshot FROM events, s"""
+ SELECT event_id, floor(date_diff('second', s, ts) / 604800)::BIGINT AS snapshot FROM events, s"""
 
 
 def cluster_collapse(spark, sf):
@@ -263,25 +262,6 @@ def leave_owner_out(spark, sf):
 LEAVE = f"""WITH {HISTORY}, f AS (SELECT *, (('0x' || substr(sha256('owner|' || owner), 1, 8))::BIGINT % 5)::INT AS fold FROM history)
  SELECT fold, count(*) AS hidden_rows, count(DISTINCT owner) AS hidden_owners, (SELECT count(*) FROM f) - count(*) AS history_rows FROM f GROUP BY fold"""
 
-_align, ALIGN = both(
-    """SELECT l.quality, count(*) AS gold, count(p.doc_id) AS answered, avg(CASE WHEN p.said = l.quality THEN 1.0D ELSE 0.0D END) AS accuracy
- FROM {labels} l LEFT JOIN (SELECT doc_id, CASE WHEN n_chars >= 1200 THEN 1 ELSE 0 END AS said FROM {documents} WHERE lang <> 'fr') p ON p.doc_id = l.doc_id GROUP BY l.quality"""
-)
-_relevant, RELEVANT = both(
-    "WITH g AS (SELECT label, count(*) AS n, min(vec_id) AS head FROM {embeddings} GROUP BY label) SELECT e.vec_id, g.head, g.n - 1 AS n_relevant FROM {embeddings} e JOIN g ON g.label = e.label"
-)
-_status, STATUS = both("SELECT o_orderstatus AS status, count(*) AS runs, avg(o_totalprice) AS mean_cost, max(o_totalprice) AS most FROM {orders} GROUP BY o_orderstatus")
-_errors, ERRORS = both(
-    """SELECT CASE WHEN quality = 1 AND n_chars < 300 THEN 'short_but_good' WHEN quality = 0 AND n_chars > 5000 THEN 'long_but_bad' WHEN toxic = 1 THEN 'toxic' ELSE 'regular' END AS kind, count(*) AS n
- FROM {labels} JOIN {documents} USING (doc_id) GROUP BY 1"""
-)
-_fields, FIELDS = both(
-    """SELECT count(*) AS rows_, count(DISTINCT doc_id) AS ids, count(DISTINCT md5(text)) AS contents, count(DISTINCT source) AS sources, sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS empty FROM {documents}"""
-)
-_buckets, BUCKETS = both(
-    """WITH c AS (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey)
- SELECT CASE WHEN n >= 20 THEN 'head' WHEN n >= 5 THEN 'middle' ELSE 'tail' END AS bucket, count(*) AS authors, sum(n) AS reports FROM c GROUP BY 1"""
-)
 
 QUERIES = {
     "alias_resolution": alias_resolution, "snapshot_labels": snapshot_labels, "cluster_collapse": cluster_collapse, "content_digests": content_digests,
@@ -289,12 +269,12 @@ QUERIES = {
     "rank_agreement": rank_agreement, "score_margins": score_margins, "related_topk_stats": related_topk_stats, "owner_bm25": owner_bm25,
     "owner_keywords": owner_keywords, "char_ngram_topk": char_ngram_topk, "ticket_sufficiency": ticket_sufficiency, "event_properties": event_properties,
     "operating_points": operating_points, "baseline_comparison": baseline_comparison, "pool_decomposition": pool_decomposition, "leave_owner_out": leave_owner_out,
-    "gold_alignment": _align, "relevant_sets": _relevant, "run_status": _status, "error_taxonomy": _errors, "field_overlap": _fields, "frequency_buckets": _buckets,
+   
 }
 ORACLES = {
     "alias_resolution": ALIAS, "snapshot_labels": SNAPSHOT, "cluster_collapse": COLLAPSE, "content_digests": DIGEST, "history_prefilter": PREFILTER,
     "repository_holdout": HOLDOUT, "representative_tickets": REPRESENT, "rank_agreement": AGREE, "score_margins": MARGIN, "related_topk_stats": RELATED,
     "owner_bm25": OWNER_BM25, "owner_keywords": KEYWORDS, "char_ngram_topk": CHAR, "ticket_sufficiency": SUFFICIENT, "event_properties": PROPS,
-    "operating_points": POINTS, "baseline_comparison": BASELINE, "pool_decomposition": POOL, "leave_owner_out": LEAVE, "gold_alignment": ALIGN.replace("1.0D", "1.0::DOUBLE").replace("0.0D", "0.0::DOUBLE"),
-    "relevant_sets": RELEVANT, "run_status": STATUS, "error_taxonomy": ERRORS, "field_overlap": FIELDS, "frequency_buckets": BUCKETS,
+    "operating_points": POINTS, "baseline_comparison": BASELINE, "pool_decomposition": POOL, "leave_owner_out": LEAVE,
+   
 }

@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallygrove.operators import routing as R
-from tallygrove.plans.metrics import EMB, embedding_pairs, embedding_ranks
-from tallygrove.plans.shared import both
+from tallygrove.plans.metrics import EMB, EMB_ALL, embedding_pairs, embedding_ranks
 from tallygrove.plans.temporal import CUT, HISTORY, REPORTS, owner_history, reports
 from tallygrove.session import table
 
@@ -91,9 +90,12 @@ def _scored(spark, sf):
     """Best and second owner of each (component, product), with signals and the share that the best has."""
     h = owner_history(spark, sf)
     c = h.groupBy("component", "product", "owner").agg(F.count("*").cast("double").alias("n"))
-    top = c.groupBy("component", "product").agg(
-        F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", (-F.col("owner")).alias("o"))))), 1, 2).alias("t"), F.sum("n").alias("total"), F.count("*").alias("owners")
-    )
+    one = F.struct("n", (-F.col("owner")).alias("o"))
+    keys = ["component", "product"]
+    best_ = c.groupBy(*keys).agg(F.max(one).alias("b"), F.sum("n").alias("total"), F.count("*").alias("owners"))
+    # Two maxima, so that no group's owners are gathered.
+    other = c.join(best_.select(*keys, F.col("b.o").alias("_o")), keys).where(-F.col("owner") != F.col("_o")).groupBy(*keys).agg(F.max(one).alias("s"))
+    top = best_.join(other, keys, "left").withColumn("t", F.array("b", "s"))
     best, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
     return top.select(
         "component", "product", (-best["o"]).alias("owner"), best["n"].alias("s1"), second["n"].alias("s2"), "total", "owners",
@@ -201,7 +203,7 @@ def triplets_hard(spark, sf):
     return best.select(F.col("query_id").alias("anchor"), (-F.col("p.i")).alias("positive"), (-F.col("n.i")).alias("negative"))
 
 
-TRIPLETS = f"""WITH {EMB} SELECT query_id AS anchor, arg_min(item_id, rank) FILTER (label = query_label) AS positive, arg_min(item_id, rank) FILTER (label <> query_label) AS negative
+TRIPLETS = f"""WITH {EMB_ALL} SELECT query_id AS anchor, arg_min(item_id, rank) FILTER (label = query_label) AS positive, arg_min(item_id, rank) FILTER (label <> query_label) AS negative
  FROM ranks GROUP BY 1 HAVING positive IS NOT NULL AND negative IS NOT NULL"""
 
 
@@ -217,8 +219,9 @@ def pairwise_rows(spark, sf):
     return one.unionByName(m.select("query_id", "item_id", (-F.col("diff")).alias("diff"), F.lit(0).alias("target"), "weight"))
 
 
-PAIRWISE = f"""WITH {EMB}, p AS (SELECT query_id, max(score) AS best FROM ranks WHERE label = query_label GROUP BY 1),
- m AS (SELECT query_id, item_id, best - score AS diff, 1 / sqrt(rank) AS weight FROM ranks JOIN p USING (query_id) WHERE label <> query_label)
+PAIRWISE = f"""WITH {EMB_ALL}, p AS (SELECT query_id, max(score) AS best FROM ranks WHERE label = query_label GROUP BY 1),
+ n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM ranks WHERE label <> query_label),
+ m AS (SELECT query_id, item_id, best - score AS diff, 1 / sqrt(rank) AS weight FROM n JOIN p USING (query_id) WHERE place <= 10)
  SELECT query_id, item_id, diff, 1 AS target, weight FROM m UNION ALL SELECT query_id, item_id, -diff, 0, weight FROM m"""
 
 
@@ -277,19 +280,6 @@ def rank_union(spark, sf):
 UNION = f"""WITH {EMB}, a AS (SELECT query_id, item_id, score AS a FROM ranks WHERE rank <= 6), b AS (SELECT query_id, item_id, score AS b FROM ranks WHERE item_id % 2 = 0)
  SELECT query_id, item_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b, CASE WHEN a IS NULL THEN 'second' WHEN b IS NULL THEN 'first' ELSE 'both' END AS side FROM a FULL JOIN b USING (query_id, item_id)"""
 
-_leak, LEAK = both(
-    """SELECT b.item_id, count(*) AS n FROM {benchmark} b JOIN {documents} d ON lower(b.text) = lower(d.text) GROUP BY b.item_id"""
-)
-_digest, DIGEST = both("""SELECT lang, count(*) AS n, min(md5(text)) AS first_digest, max(md5(text)) AS last_digest FROM {documents} GROUP BY lang""")
-_gates, GATES = both(
-    """SELECT count(*) >= 100 AS enough_rows, avg(CAST(quality AS DOUBLE)) >= 0.2 AS balanced, max(toxic) = 1 AS has_toxic, count(DISTINCT doc_id) = count(*) AS unique_ids FROM {labels}"""
-)
-_weeks, WEEKS = both(
-    """WITH w AS (SELECT event_type, date_trunc('week', ts) AS wk, avg(CASE WHEN value IS NULL THEN 0.0 ELSE value END) AS v FROM {events} GROUP BY 1, 2),
- r AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY wk DESC) AS rn FROM w)
- SELECT event_type, min(v) > 10 AS passes, count(*) AS weeks FROM r WHERE rn <= 3 GROUP BY event_type"""
-)
-
 
 def eviction_plan(spark, sf):
     """Documents beyond a budget of 50,000 characters of their source, newest first."""
@@ -302,10 +292,6 @@ def eviction_plan(spark, sf):
 
 EVICT = """WITH s AS (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC) AS held FROM documents) SELECT doc_id, n_chars FROM s WHERE held > 50000"""
 
-_runs, RUNS = both(
-    """SELECT p.o_orderkey, CASE WHEN n.items > p.prio THEN 'better' WHEN n.items < p.prio THEN 'worse' ELSE 'same' END AS outcome
- FROM (SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS prio FROM {orders}) p LEFT JOIN (SELECT l_orderkey, count(*) AS items FROM {lineitem} GROUP BY l_orderkey) n ON p.o_orderkey = n.l_orderkey"""
-)
 
 QUERIES = {
     "owner_counts": owner_counts, "ownership_derive": ownership_derive, "roster_snapshot": roster_snapshot, "owner_shares": owner_shares,
@@ -313,7 +299,7 @@ QUERIES = {
     "owner_known_groups": owner_known_groups, "metadata_rerank": metadata_rerank, "stable_rerank": stable_rerank, "hash_folds": hash_folds,
     "stratified_holdout": stratified_holdout, "triplets_hard": triplets_hard, "pairwise_rows": pairwise_rows, "latest_feedback": latest_feedback,
     "feedback_override": feedback_override, "priority_score": priority_score, "label_masking": label_masking, "rank_union": rank_union,
-    "leakage_audit": _leak, "partition_digest": _digest, "readiness_gates": _gates, "latest_weeks_gate": _weeks, "eviction_plan": eviction_plan, "paired_outcomes": _runs,
+    "eviction_plan": eviction_plan,
 }
 ORACLES = {
     "owner_counts": OWNER_COUNTS, "ownership_derive": OWNERSHIP, "roster_snapshot": ROSTER, "owner_shares": SHARES, "quota_candidates": QUOTA,
@@ -321,5 +307,5 @@ ORACLES = {
     "stable_rerank": BLEND, "hash_folds": FOLDS, "stratified_holdout": STRATIFIED, "triplets_hard": TRIPLETS, "pairwise_rows": PAIRWISE,
     "latest_feedback": LATEST, "feedback_override": OVERRIDE, "priority_score": SCORE6,
     "label_masking": "SELECT s_suppkey, 'owner_' || substr(sha256('owner|' || s_suppkey), 1, 12) AS masked FROM supplier", "rank_union": UNION,
-    "leakage_audit": LEAK, "partition_digest": DIGEST, "readiness_gates": GATES, "latest_weeks_gate": WEEKS, "eviction_plan": EVICT, "paired_outcomes": RUNS,
+    "eviction_plan": EVICT,
 }

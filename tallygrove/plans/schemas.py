@@ -11,7 +11,7 @@ SCHEMAS = {
     "history_cutoff": "reason string, component string, n bigint, owners bigint",
     "recency_share": "component string, owner bigint, weight double, n bigint, share double",
     "interval_eligibility": "event_id bigint, n_valid bigint, first_span bigint",
-    "rolling_windows": "kind string, step bigint, part string, n bigint, owners bigint",
+    "rolling_windows": "kind string, step bigint, part string, n bigint, owners bigint, in_roster bigint",
     "temporal_split": "report_id bigint, part string",
     "confusion_matrix": "quality int, said_0 bigint, said_1 bigint",
     "label_scores": "label int, support bigint, tp bigint, fp bigint, fn bigint, precision double, recall double, f1 double",
@@ -50,8 +50,8 @@ SCHEMAS = {
     "missing_masters": "id bigint",
     "title_similarity": "query_id bigint, item_id bigint, score double, rank int",
     "keyword_features": "doc_id bigint, crash_flag int, crash_count int, ui_flag int, ui_count int, data_flag int, data_count int, en_flag int, en_count int, crash_x_ui int",
-    "allowed_values": "lang string, n_values bigint, first_value string, last_value string",
-    "observable_fields": "source string, n bigint, lang_in_text bigint",
+    "allowed_values": "lang string, value string, n bigint",
+    "observable_fields": "field string, n bigint, observed bigint",
     "owner_counts": "level string, owner bigint, component string, product string, n bigint",
     "ownership_derive": "component string, product string, owner bigint, support bigint, share double",
     "roster_snapshot": "owner bigint, n bigint, n_active bigint, n_dormant bigint, last_seen timestamp_ntz, status string",
@@ -112,7 +112,7 @@ SCHEMAS = {
     "leave_owner_out": "fold int, hidden_rows bigint, hidden_owners bigint, history_rows bigint",
     "gold_alignment": "quality int, gold bigint, answered bigint, accuracy double",
     "relevant_sets": "vec_id bigint, head bigint, n_relevant bigint",
-    "run_status": "status string, runs bigint, mean_cost double, most double",
+    "run_status": "status string, runs bigint, mean_stages double, most_stages bigint",
     "error_taxonomy": "kind string, n bigint",
     "field_overlap": "rows_ bigint, ids bigint, contents bigint, sources bigint, empty bigint",
     "frequency_buckets": "bucket string, authors bigint, reports bigint",

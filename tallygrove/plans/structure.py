@@ -24,24 +24,16 @@ WINDOWS = """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))
  SELECT doc_id, s AS start_line, least(s + 11, len(l)) AS end_line, md5(array_to_string(l[s:s + 11], chr(10))) AS digest FROM w"""
 
 
-def _edges(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity = 50")
-    return li.select((F.col("l_partkey") % 400).alias("source"), F.col("l_suppkey").alias("target")).distinct()
+def graph_one_hop(spark, sf):
+    """Bonus of parts one edge from each customer's five dearest orders, edges being all line items; orders with more than six parts are hubs and give none."""
+    o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("file"), "o_totalprice")
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "file"))
+    edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target")).distinct()
+    return K.one_hop(o.withColumn("rank", rank), edges, "o_custkey", "file", "rank", top=5, hub=6)
 
 
-def graph_one_hop(spark, sf):
-    """Bonus of suppliers one edge from each customer's five last-ranked parts; hubs with more than 12 targets give none."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    li = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    c = li.groupBy("o_custkey", (F.col("l_partkey") % 400).alias("file")).agg(F.sum("l_quantity").alias("q"))
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("q"), "file"))
-    ranked = c.withColumn("rank", rank)
-    return K.one_hop(ranked, _edges(spark, sf), "o_custkey", "file", "rank", top=5, hub=12)
-
-
-ONE_HOP = """WITH e AS (SELECT DISTINCT l_partkey % 400 AS source, l_suppkey AS target FROM lineitem WHERE l_quantity = 50), d AS (SELECT source FROM e GROUP BY 1 HAVING count(*) <= 12),
- c AS (SELECT o_custkey, l_partkey % 400 AS file, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
- r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY q DESC, file) AS rank FROM c)
+ONE_HOP = """WITH e AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM lineitem), d AS (SELECT source FROM e GROUP BY 1 HAVING count(*) <= 6),
+ r AS (SELECT o_custkey, o_orderkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
  SELECT o_custkey, e.target AS file, least(0.08, 0.08 * max(1 - 0.08 * (rank - 1))) AS bonus FROM r JOIN e ON r.file = e.source JOIN d ON d.source = e.source WHERE rank <= 5 GROUP BY ALL"""
 
 
@@ -124,21 +116,26 @@ DEDUP = "SELECT user_id, count(DISTINCT props) AS n, count(DISTINCT props) AS pa
 
 
 def rolling_replay(spark, sf):
-    """Weekly windows of 1997 orders against line items shipped by each window's first order."""
+    """Weekly windows of all orders against line items shipped by each window's first order."""
     q = reports(spark, sf).select(F.col("report_id"), F.col("author").alias("key"), F.col("created_at").alias("at"))
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
     h = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("key", F.col("l_shipdate").alias("available_at"))
-    w = spark.range(4).select(
-        F.concat(F.lit("w"), F.col("id").cast("string")).alias("name"), (F.lit("1997-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("id") * 7)).alias("start"),
-        (F.lit("1997-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("id") * 7 + 7)).alias("end"),
+    first, last = (F.date_trunc("day", f("at")).cast("timestamp_ntz") for f in (F.min, F.max))
+    span = q.agg(first.alias("first"), last.alias("last"))
+    w = span.select("first", F.explode(F.sequence(F.lit(0), F.floor(F.datediff("last", "first") / 7).cast("int"))).alias("id")).select(
+        F.concat(F.lit("w"), F.col("id").cast("string")).alias("name"), (F.col("first") + F.make_dt_interval(F.col("id") * 7)).alias("start"),
+        (F.col("first") + F.make_dt_interval(F.col("id") * 7 + 7)).alias("end"),
     )
     return S.rolling_replay(h, q, w, "key").select("name", "queries", "usable", "overlapping")
 
 
-ROLL = """WITH w AS (SELECT 'w' || range AS name, TIMESTAMP '1997-01-01' + to_days((range * 7)::INT) AS s, TIMESTAMP '1997-01-01' + to_days((range * 7 + 7)::INT) AS e FROM range(0, 4)),
+ROLL = """WITH b AS (SELECT date_trunc('day', min(o_orderdate))::TIMESTAMP AS b, date_trunc('day', max(o_orderdate))::TIMESTAMP AS z FROM orders),
+ w AS (SELECT 'w' || k AS name, b + to_days((k * 7)::INT) AS s, b + to_days((k * 7 + 7)::INT) AS e FROM (SELECT b, unnest(range(0, date_diff('day', b, z) // 7 + 1)) AS k FROM b)),
  q AS (SELECT name, o_custkey AS key, o_orderdate AS placed FROM orders JOIN w ON o_orderdate >= s AND o_orderdate < e), f AS (SELECT name, min(placed) AS first_at, count(*) AS queries FROM q GROUP BY 1),
- u AS (SELECT name, o_custkey AS key FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN f ON l_shipdate <= first_at)
- SELECT name, queries, (SELECT count(*) FROM u WHERE u.name = f.name) AS usable, (SELECT count(*) FROM q WHERE q.name = f.name AND EXISTS (SELECT 1 FROM u WHERE u.name = q.name AND u.key = q.key)) AS overlapping FROM f"""
+ h AS (SELECT o_custkey AS key, l_shipdate AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey), k AS (SELECT key, min(shipped) AS shipped FROM h GROUP BY 1),
+ u AS (SELECT name, count(*) AS usable FROM f JOIN h ON shipped <= first_at GROUP BY 1),
+ o AS (SELECT name, count(*) AS overlapping FROM q JOIN f USING (name) JOIN k USING (key) WHERE shipped <= first_at GROUP BY 1)
+ SELECT name, queries, coalesce(usable, 0) AS usable, coalesce(overlapping, 0) AS overlapping FROM f LEFT JOIN u USING (name) LEFT JOIN o USING (name)"""
 
 
 def priority_fit(spark, sf):

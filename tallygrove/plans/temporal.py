@@ -167,38 +167,56 @@ RECENCY = f"""WITH {HISTORY}, w AS (SELECT component, owner, sum(exp(-ln(2.0) /
 
 
 def interval_eligibility(spark, sf):
-    """Events inside the three days from each user's login-like events, as eligibility intervals by type."""
+    """Events inside the three days from each user's error events, as eligibility intervals; every fifth has no end, every seventh no start."""
     ev = table(spark, sf, "events")
     spans = ev.where("event_type = 'error'").select(
-        "user_id", F.col("ts").alias("valid_from"), (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("expires_at"), F.col("event_id").alias("span_id")
+        "user_id", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("valid_from"),
+        F.when(F.col("event_id") % 5 != 0, F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("expires_at"), F.col("event_id").alias("span_id"),
     )
     met = T.interval_join(ev, spans, ["user_id"], "ts", "valid_from", "expires_at")
     return met.groupBy("event_id").agg(F.count("*").alias("n_valid"), F.min("span_id").alias("first_span"))
 
 
 ELIGIBLE = """SELECT p.event_id, count(*) AS n_valid, min(s.event_id) AS first_span FROM events p JOIN events s
- ON s.event_type = 'error' AND p.user_id = s.user_id AND p.ts >= s.ts AND p.ts < s.ts + INTERVAL 3 DAY GROUP BY p.event_id"""
+ ON s.event_type = 'error' AND p.user_id = s.user_id AND (s.event_id % 7 = 0 OR p.ts >= s.ts) AND (s.event_id % 5 = 0 OR p.ts < s.ts + INTERVAL 3 DAY)
+ GROUP BY p.event_id"""
 
 
 def rolling_windows(spark, sf):
-    """Expanding and sliding train / test windows: 28 days of training, 7-day steps."""
-    ev = table(spark, sf, "events")
-    start = ev.agg(F.date_trunc("day", F.min("ts")).alias("s"))
-    steps = spark.range(3).join(F.broadcast(start)).select(
-        F.col("id").alias("step"), (F.col("s") + F.make_dt_interval(F.col("id") * 7 + 7)).alias("test_from"), "s"
+    """Four expanding and four sliding windows over all reports: 28 days of training (sliding), 7 of validation, 7 of testing, in steps of 7 days up to the last report.
+
+    Of each part the rows, the owners, and the rows whose owner has three
+    training rows or more.
+    """
+    r = reports(spark, sf).select("created_at", "author")
+    end = r.agg((F.date_trunc("day", F.max("created_at")) + F.expr("INTERVAL 1 DAY")).alias("end"), F.date_trunc("day", F.min("created_at")).alias("start"))
+    day = lambda n: F.make_dt_interval(n)
+    steps = spark.range(4).crossJoin(F.broadcast(end)).withColumn("test_from", F.col("end") - day(7 * (4 - F.col("id"))))
+    kinds = steps.select("*", F.explode(F.array(F.lit("expanding"), F.lit("sliding"))).alias("kind"))
+    validation = F.col("test_from") - day(F.lit(7))
+    sliding = F.greatest("start", validation - day(F.lit(28)))
+    wins = kinds.select(
+        "kind", (F.col("id") + 1).alias("step"), F.when(F.col("kind") == "expanding", F.col("start")).otherwise(sliding).alias("train_from"),
+        validation.alias("validation_from"), "test_from", (F.col("test_from") + day(F.lit(7))).alias("test_to"),
+    )
+    # Eight windows, so a row takes part in eight at most.
+    met = r.join(F.broadcast(wins), (F.col("created_at") >= F.col("train_from")) & (F.col("created_at") < F.col("test_to")))
+    part = F.when(F.col("created_at") < F.col("validation_from"), "train").when(F.col("created_at") < F.col("test_from"), "validation").otherwise("test")
+    by = met.groupBy("kind", "step", "author", part.alias("part")).agg(F.count("*").alias("n"))
+    roster = by.where("part = 'train' and n >= 3").select("kind", "step", "author", F.lit(1).alias("known"))
+    by = by.join(roster, ["kind", "step", "author"], "left")
+    return by.groupBy("kind", "step", "part").agg(
+        F.sum("n").alias("n"), F.count("*").alias("owners"), F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)).alias("in_roster")
     )
-    kinds = steps.select("step", "test_from", F.explode(F.array(F.lit("expanding"), F.lit("sliding"))).alias("kind"), "s")
-    from_ = F.when(F.col("kind") == "expanding", F.col("s")).otherwise(F.greatest("s", F.col("test_from") - F.expr("INTERVAL 14 DAYS")))
-    wins = F.broadcast(kinds.withColumn("train_from", from_).withColumn("test_to", F.col("test_from") + F.expr("INTERVAL 7 DAYS")))
-    met = ev.join(wins, (F.col("ts") >= F.col("train_from")) & (F.col("ts") < F.col("test_to")))
-    part = F.when(F.col("ts") < F.col("test_from"), "train").otherwise("test")
-    return met.groupBy("kind", "step", part.alias("part")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("owners"))
-
-
-ROLLING = """WITH s AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS s FROM events), k AS (SELECT range AS step, s, s + to_days((range * 7 + 7)::INT) AS test_from FROM s, range(0, 3)),
- w AS (SELECT step, test_from, kind, CASE kind WHEN 'expanding' THEN s ELSE greatest(s, test_from - INTERVAL 14 DAY) END AS train_from, test_from + INTERVAL 7 DAY AS test_to FROM k, (VALUES ('expanding'), ('sliding')) v(kind))
- SELECT kind, step, CASE WHEN ts < test_from THEN 'train' ELSE 'test' END AS part, count(*) AS n, count(DISTINCT user_id) AS owners
- FROM events JOIN w ON ts >= train_from AND ts < test_to GROUP BY ALL"""
+
+
+ROLLING = f"""WITH {REPORTS}, s AS (SELECT date_trunc('day', min(created_at))::TIMESTAMP AS s, date_trunc('day', max(created_at))::TIMESTAMP + INTERVAL 1 DAY AS e FROM reports),
+ k AS (SELECT range + 1 AS step, s, e - to_days((7 * (4 - range))::INT) AS test_from FROM s, range(0, 4)),
+ w AS (SELECT step, kind, test_from, CASE kind WHEN 'expanding' THEN s ELSE greatest(s, test_from - INTERVAL 35 DAY) END AS train_from FROM k, (VALUES ('expanding'), ('sliding')) v(kind)),
+ m AS (SELECT kind, step, author, CASE WHEN created_at < test_from - INTERVAL 7 DAY THEN 'train' WHEN created_at < test_from THEN 'validation' ELSE 'test' END AS part
+   FROM reports JOIN w ON created_at >= train_from AND created_at < test_from + INTERVAL 7 DAY),
+ roster AS (SELECT kind, step, author FROM m WHERE part = 'train' GROUP BY ALL HAVING count(*) >= 3)
+ SELECT m.kind, m.step, part, count(*) AS n, count(DISTINCT m.author) AS owners, count(r.author) AS in_roster FROM m LEFT JOIN roster r ON m.kind = r.kind AND m.step = r.step AND m.author = r.author GROUP BY ALL"""
 
 
 def temporal_split(spark, sf):

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from tallygrove.operators import cleaning as C
 from tallygrove.operators import text as X
 from tallygrove.operators.cluster import connected_components
-from tallygrove.plans.shared import both
-from tallygrove.session import table
+from tallygrove.session import materialize, small_side, table
 
 _TOK = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9_]{1,}'), lambda t: lower(t))"
 _TF = f"""tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents) GROUP BY ALL),
@@ -18,8 +17,9 @@ _TF = f"""tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnes
 
 def _index(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    tf = X.term_counts(docs, "doc_id", F.col("text"))
-    q = X.term_counts(table(spark, sf, "benchmark"), "item_id", F.col("text"))
+    # Written, as frequencies, norms and postings all read it.
+    tf = materialize(X.term_counts(docs, "doc_id", F.col("text")), "terms")
+    q = materialize(X.term_counts(table(spark, sf, "benchmark"), "item_id", F.col("text")), "terms")
     return docs, tf, q, X.document_frequencies(tf)
 
 
@@ -31,9 +31,11 @@ def _clean_sql(col):
 
 
 def clean_documents(spark, sf):
+    """Cleaned texts of at most 5,000 characters, as the rule has it, of 20 or more; rare sources folded."""
     d = C.fold_rare(table(spark, sf, "documents").where("text is not null"), "source", 40)
-    t = C.clean_text(F.col("text"))
-    return d.select("doc_id", "source", t.alias("text"), F.length(t).alias("text_len")).where("text_len >= 20")
+    # Behind a generator, below which no filter is pushed: the text is cleaned once.
+    t = d.select("doc_id", "source", F.explode(F.array(C.clean_text(F.col("text")))).alias("text"))
+    return t.withColumn("text_len", F.length("text")).where("text_len >= 20")
 
 
 CLEAN = f"""WITH c AS (SELECT source, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
@@ -85,7 +87,8 @@ FIRST = """SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITI
 def tfidf_topk(spark, sf):
     docs, tf, q, dfs = _index(spark, sf)
     n = F.lit(docs.count())
-    w = X.tfidf(tf, dfs, n, "doc_id")
+    dfs = materialize(dfs, "terms")
+    w = X.tfidf(tf, dfs, n, "doc_id", q.select("token").distinct())
     qw = X.tfidf(q, dfs, n, "item_id")
     return X.top_k(X.dot(qw, w, "item_id", "doc_id"), "item_id", "doc_id", 10)
 
@@ -101,7 +104,9 @@ def bm25_topk(spark, sf):
     docs, tf, q, dfs = _index(spark, sf)
     lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("length"))
     n, mean = docs.count(), lengths.agg(F.avg("length")).first()[0] or 1.0
-    w = X.bm25_weights(tf, dfs, lengths, F.lit(n), F.lit(mean), "doc_id")
+    # Only tokens of queries have to be weighed.
+    asked = q.select("token").distinct()
+    w = X.bm25_weights(tf.join(asked, "token", "left_semi"), dfs.join(asked, "token", "left_semi"), lengths, F.lit(n), F.lit(mean), "doc_id")
     return X.top_k(X.dot(q.select("item_id", "token", F.lit(1.0).alias("w")), w, "item_id", "doc_id"), "item_id", "doc_id", 10)
 
 
@@ -145,7 +150,7 @@ BM25F = f"""WITH {_field_sql('ti', "regexp_extract(coalesce(text, ''), '^([^" +
 
 
 def simhash_near_dups(spark, sf):
-    h = X.simhash(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", F.col("text"))
+    h = materialize(X.simhash(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", F.col("text")), "simhash")
     return X.simhash_pairs(h, "doc_id")
 
 
@@ -191,10 +196,14 @@ def overlap_audit(spark, sf):
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     b = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("bw")).where(F.size("bw") >= 8)
     b = b.select("item_id", F.array_join(F.slice("bw", 1, 8), " ").alias("k"), F.concat(F.lit(" "), F.array_join("bw", " "), F.lit(" ")).alias("bt"))
+    b = materialize(b, "overlap")
+    keys = small_side(b.select("item_id", "k"))
     d = table(spark, sf, "documents").select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 8)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.array_join(F.slice("w", i + 1, 8), " ")))
-    g = d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("dt"), F.explode(grams).alias("k"))
-    met = g.join(F.broadcast(b) if b.count() <= 10_000 else b, "k").where(F.col("dt").contains(F.col("bt")))
+    hits = materialize(d.select("doc_id", F.explode(grams).alias("k")).join(keys, "k").select("doc_id", "item_id").distinct(), "overlap")
+    # Whole texts are read for hits only.
+    texts = d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("dt"))
+    met = hits.join(texts, "doc_id").join(b.select("item_id", "bt"), "item_id").where(F.col("dt").contains(F.col("bt")))
     return met.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
@@ -210,8 +219,8 @@ def missing_masters(spark, sf):
 
 
 def title_similarity(spark, sf):
-    """Weighted duplicate score of conversations: cosine of the first lines' counts blended with that of the rest."""
-    t = table(spark, sf, "conversations").where("turn <= 1").select((F.col("conv_id") * 2 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
+    """Weighted duplicate score of conversations: cosine of the first turn's counts blended with that of all others."""
+    t = table(spark, sf, "conversations").select((F.col("conv_id") * 2 + F.least("turn", F.lit(1))).alias("id"), "text")
     tf = X.term_counts(t, "id", F.col("text"))
     norm = tf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     w = tf.join(norm, "id").select("id", "token", (F.col("tf") / F.col("norm")).alias("w"))
@@ -222,7 +231,7 @@ def title_similarity(spark, sf):
     return X.top_k(both_, "query_id", "item_id", 5, digits=6)
 
 
-TITLE = f"""WITH c AS (SELECT conv_id * 2 + turn AS id, text FROM conversations WHERE turn <= 1),
+TITLE = f"""WITH c AS (SELECT conv_id * 2 + least(turn, 1) AS id, text FROM conversations),
  tf AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest({_TOK}) AS token FROM c) GROUP BY ALL), w AS (SELECT id, token, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS w FROM tf),
  s AS (SELECT q.id // 2 AS query_id, w.id // 2 AS item_id, CASE WHEN q.id % 2 = 0 THEN 0.4 ELSE 0.55 END * sum(q.w * w.w) AS part FROM w q JOIN w USING (token) WHERE q.id % 40 < 2 AND q.id % 2 = w.id % 2 AND q.id <> w.id GROUP BY q.id, w.id),
  g AS (SELECT query_id, item_id, round(least(1.0, sum(part)), 6) AS score FROM s GROUP BY ALL)
@@ -242,20 +251,16 @@ KEYWORDS = "WITH f AS (SELECT doc_id, " + ", ".join(
     f"regexp_matches(lower(coalesce(text, '')), '{p}')::INT AS {k}_flag, len(regexp_extract_all(lower(coalesce(text, '')), '{p}'))::INT AS {k}_count" for k, p in _FAM.items()
 ) + " FROM documents) SELECT *, crash_flag * ui_flag AS crash_x_ui FROM f"
 
-_allowed, ALLOWED = both("SELECT lang, count(DISTINCT source) AS n_values, min(source) AS first_value, max(source) AS last_value FROM {documents} GROUP BY lang")
-_observed, OBSERVED = both(
-    "SELECT source, count(*) AS n, sum(CASE WHEN instr(lower(text), lower(lang)) > 0 THEN 1 ELSE 0 END) AS lang_in_text FROM {documents} GROUP BY source"
-)
 
 QUERIES = {
     "clean_documents": clean_documents, "page_text": page_text, "canonical_priority": canonical_priority, "extract_references": extract_references,
     "first_comment": first_comment, "tfidf_topk": tfidf_topk, "bm25_topk": bm25_topk, "bm25f_related": bm25f_related, "simhash_near_dups": simhash_near_dups, "jaccard_near_dups": jaccard_near_dups,
     "duplicate_components": duplicate_components, "overlap_audit": overlap_audit, "missing_masters": missing_masters, "title_similarity": title_similarity,
-    "keyword_features": keyword_features, "allowed_values": _allowed, "observable_fields": _observed,
+    "keyword_features": keyword_features,
 }
 ORACLES = {
     "clean_documents": CLEAN, "page_text": PAGES, "canonical_priority": PRIO, "extract_references": REFS, "first_comment": FIRST, "tfidf_topk": TFIDF,
     "bm25_topk": BM25, "bm25f_related": BM25F, "simhash_near_dups": SIMHASH, "jaccard_near_dups": JACCARD, "duplicate_components": COMPONENTS, "overlap_audit": OVERLAP,
     "missing_masters": "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)", "title_similarity": TITLE,
-    "keyword_features": KEYWORDS, "allowed_values": ALLOWED, "observable_fields": OBSERVED,
+    "keyword_features": KEYWORDS,
 }

@@ -72,7 +72,9 @@ def read_records(spark: SparkSession, path: str, schema: str, wrappers: tuple[st
     lines = F.filter(F.transform(F.split("v", "\n"), lambda x: F.from_json(x, f"struct<{schema}>")), lambda x: x.isNotNull())
     single = F.array(F.from_json("v", f"struct<{schema}>"))
     has_wrapper = F.coalesce(*[F.get_json_object("v", f"$.{w}") for w in wrappers]).isNotNull()
-    many = F.size(F.split("v", r"\n\s*\{")) > 1
+    # Each line an object of its own; a pretty-printed object has lines that aren't.
+    filled = F.filter(F.transform(F.split("v", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    many = (F.size(filled) > 1) & F.forall(filled, lambda x: x.startswith("{") & x.endswith("}"))
     rows = F.when(F.col("v").startswith("["), listed).when(has_wrapper, wrapped).when(many, lines).otherwise(single)
     return text.select(F.explode(rows).alias("r")).select("r.*")
 

@@ -64,14 +64,22 @@ def rolling_replay(history: DataFrame, queries: DataFrame, windows: DataFrame, k
     windows has name, start, end (half-open). A query whose key is in the usable
     history is dropped. Returns (window, queries, usable, overlapping).
     """
+    # A few hundred windows; the history isn't joined with them: each row is counted at the first window that it is known in.
     w = F.broadcast(windows)
     q = queries.join(w, (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("name", key, "at")
-    first = q.groupBy("name").agg(F.min("at").alias("first_at"))
-    usable = history.join(F.broadcast(first), F.col("available_at") <= F.col("first_at")).select("name", key, "available_at")
-    n = usable.groupBy("name").agg(F.count("*").alias("usable"))
-    over = q.join(usable.select("name", key).distinct(), ["name", key], "left_semi").groupBy("name").agg(F.count("*").alias("overlapping"))
-    total = q.groupBy("name").agg(F.count("*").alias("queries"))
-    return total.join(n, "name", "left").join(over, "name", "left").na.fill(0, ["usable", "overlapping"])
+    total = q.groupBy("name").agg(F.min("at").alias("first_at"), F.count("*").alias("queries"))
+    firsts = total.agg(F.sort_array(F.collect_list("first_at")).alias("_firsts"))
+    place = F.size(F.filter("_firsts", lambda f: f < F.col("available_at")))
+    by = history.crossJoin(F.broadcast(firsts)).groupBy(place.alias("_k")).agg(F.count("*").alias("_n"))
+    by = by.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_n"))).alias("_by"))
+    known = lambda i: F.coalesce(F.element_at("_by", i), F.lit(0))
+    mine = F.size(F.filter("_firsts", lambda f: f < F.col("first_at")))
+    usable = F.aggregate(F.sequence(F.lit(0), mine), F.lit(0).cast("long"), lambda s, i: s + known(i))
+    counted = total.crossJoin(F.broadcast(firsts)).crossJoin(F.broadcast(by)).select("name", "queries", "first_at", usable.alias("usable"))
+    since = history.groupBy(key).agg(F.min("available_at").alias("_since"))
+    seen = q.join(since, key).join(F.broadcast(total.select("name", "first_at")), "name").where(F.col("_since") <= F.col("first_at"))
+    over = seen.groupBy("name").agg(F.count("*").alias("overlapping"))
+    return counted.drop("first_at").join(over, "name", "left").na.fill(0, ["usable", "overlapping"])
 
 
 def with_ttl(state: DataFrame, at: str, days: int, now) -> DataFrame:

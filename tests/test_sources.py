@@ -28,6 +28,12 @@ def test_record_forms(spark, tmp_path, body):
     assert sorted(r.id for r in tickets.read_records(spark, str(tmp_path / "r.json"), "id string").collect()) == ["1", "2"]
 
 
+def test_pretty_printed_record_with_a_list(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"id": "1", "steps": [{"n": "a"}, {"n": "b"}], "to": {"x": "y"}}, indent=2))
+    got = tickets.read_records(spark, str(tmp_path / "r.json"), "id string, steps array<struct<n:string>>").collect()
+    assert [(r.id, [x.n for x in r.steps]) for r in got] == [("1", ["a", "b"])]
+
+
 def test_source_tree(spark, tmp_path):
     for p, text in (("src/a.py", "x = 1"), ("node_modules/b.py", "y"), ("src/c.bin", "z"), ("src/big.py", "q" * 50)):
         (tmp_path / p).parent.mkdir(exist_ok=True)
