@@ -1,5 +1,7 @@
 """Result columns of every query: the same names and types in Spark and SQL, doubles rounded to six places."""
 
+from tallygrove.operators.features import COLUMNS
+
 SCHEMAS = {
     "jaccard_near_dups": "a bigint, b bigint, jaccard double",
     "activity_features": "report_id bigint, author bigint, priority int, prior_count bigint, prior_mean double, prior_median double, n_30d bigint, n_90d bigint",
@@ -49,7 +51,7 @@ SCHEMAS = {
     "overlap_audit": "item_id bigint, n_docs bigint, first_doc bigint",
     "missing_masters": "id bigint",
     "title_similarity": "query_id bigint, item_id bigint, score double, rank int",
-    "keyword_features": "doc_id bigint, crash_flag int, crash_count int, ui_flag int, ui_count int, data_flag int, data_count int, en_flag int, en_count int, crash_x_ui int",
+    "keyword_features": "doc_id bigint, " + ", ".join(f"{c} int" for c in COLUMNS),
     "allowed_values": "lang string, value string, n bigint",
     "observable_fields": "field string, n bigint, observed bigint",
     "owner_counts": "level string, owner bigint, component string, product string, n bigint",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallygrove.operators import cleaning as C
+from tallygrove.operators import features as K
 from tallygrove.operators import text as X
 from tallygrove.operators.cluster import connected_components
 from tallygrove.session import materialize, small_side, table
@@ -239,18 +240,34 @@ TITLE = f"""WITH c AS (SELECT conv_id * 2 + least(turn, 1) AS id, text FROM conv
 
 
 def keyword_features(spark, sf):
-    """Regex-family flags and counts per document with an interaction."""
-    fam = {"crash": "crash|error|exception|fail", "ui": "button|window|dialog|menu", "data": "loss|corrupt|missing", "en": r"\b(?:the|of|and)\b"}
-    low = F.lower(F.coalesce("text", F.lit("")))
-    cols = [x for k, p in fam.items() for x in (low.rlike(p).cast("int").alias(f"{k}_flag"), F.regexp_count(low, F.lit(p)).alias(f"{k}_count"))]
-    return table(spark, sf, "documents").select("doc_id", *cols).withColumn("crash_x_ui", F.col("crash_flag") * F.col("ui_flag"))
-
-
-_FAM = {"crash": "crash|error|exception|fail", "ui": "button|window|dialog|menu", "data": "loss|corrupt|missing", "en": r"\b(?:the|of|and)\b"}
-KEYWORDS = "WITH f AS (SELECT doc_id, " + ", ".join(
-    f"regexp_matches(lower(coalesce(text, '')), '{p}')::INT AS {k}_flag, len(regexp_extract_all(lower(coalesce(text, '')), '{p}'))::INT AS {k}_count" for k, p in _FAM.items()
-) + " FROM documents) SELECT *, crash_flag * ui_flag AS crash_x_ui FROM f"
-
+    """All families of terms in documents and pages of markup: the first line is the summary, the rest the description."""
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"^([^\n]*)", 1).alias("s"), F.regexp_extract("text", r"^[^\n]*\n((?s:.*))", 1).alias("d"))
+    return K.keyword_features(d, "doc_id", F.col("s"), F.col("d"))
+
+
+def _keyword_sql() -> str:
+    q = lambda p: p.replace("'", "''")
+    n = lambda t, p: f"len(regexp_extract_all({t}, '{q(p)}'))"
+    flag = lambda t, p: f"regexp_matches({t}, '{q(p)}')::INT"
+    cols = [x for f, p in K.FAMILIES.items() for x in (f"{flag('t', p)} AS {f}", f"{flag('s', p)} AS summary_{f}", f"{n('t', p)} AS {f}_count")]
+    words = lambda t: f"len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> ''))"
+    cols += [
+        "length(s) AS summary_char_len", "length(d) AS description_char_len", f"{words('s')} AS summary_word_count", f"{words('d')} AS description_word_count",
+        "length(d) - length(replace(d, chr(10), '')) + 1 AS description_line_count", f"{n('d', K.STACK_LINE)} AS stack_trace_line_count",
+        "length(s) - length(replace(s, '!', '')) AS summary_exclamation_count", f"{flag('t', K.BUILD_ID)} AS contains_build_id", f"{flag('t', K.VERSION)} AS contains_version_number",
+    ]
+    total = lambda names, head="": " + ".join(head + x for x in names)
+    sums = [f"{total(v)} AS {k}_signal_count" for k, v in K.SIGNALS.items()]
+    sums += [f"{total(K.SIGNALS[k], 'summary_')} AS summary_{k}_signal_count" for k in ("high_priority", "p2_boundary")]
+    sums.append(f"{total(K.SIGNALS['high_priority'])} - ({total(K.SIGNALS['low_priority'])}) AS priority_signal_balance")
+    return (
+        "WITH l AS (SELECT doc_id, lower(coalesce(text, '')) AS x, position(chr(10) IN coalesce(text, '')) AS p FROM documents), "
+        "r AS (SELECT doc_id, CASE WHEN p = 0 THEN x ELSE left(x, p - 1) END AS s, CASE WHEN p = 0 THEN '' ELSE substr(x, p + 1) END AS d FROM l), "
+        f"t AS (SELECT *, s || chr(10) || d AS t FROM r), f AS (SELECT doc_id, {', '.join(cols)} FROM t) SELECT *, {', '.join(sums)} FROM f"
+    )
+
+
+KEYWORDS = _keyword_sql()
 
 QUERIES = {
     "clean_documents": clean_documents, "page_text": page_text, "canonical_priority": canonical_priority, "extract_references": extract_references,

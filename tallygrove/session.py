@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +54,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR["dir"]
 
 
+#: Folders that temporary() named and nothing deleted yet; what is left of them goes when the process ends.
+_LEFT: dict[str, None] = {}
+
+
+def temporary(spark: SparkSession, tag: str) -> str:
+    """A new folder's name in the shared folder; the folder is deleted at the end of the process if not before."""
+    if not _LEFT:
+        atexit.register(_clear, spark._jvm, spark._jsc.hadoopConfiguration())
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _LEFT[path] = None
+    return path
+
+
+def _clear(jvm, settings) -> None:
+    atexit.unregister(_clear)
+    # The JVM may be gone by now, and with it its access to the folder.
+    with suppress(Exception):
+        for name in list(_LEFT):
+            where = jvm.org.apache.hadoop.fs.Path(name)
+            where.getFileSystem(settings).delete(where, True)
+    _LEFT.clear()
+
+
 def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = temporary(spark, tag)
     df.write.parquet(path, compression=compression)
     for held in _SCOPES.get():
         held.append(path)
@@ -82,6 +106,7 @@ def scratch(held: list[str]):
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _LEFT.pop(path, None)
 
 
 def release(df: DataFrame) -> None:

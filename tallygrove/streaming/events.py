@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.session import shared_dir
+from tallygrove.session import delete, temporary
 
 
 def windowed_counts(events: DataFrame, late: str = "2 days", size: str = "1 day") -> DataFrame:
@@ -26,9 +24,9 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "7 days") -> Da
     return events.dropDuplicates(keys)
 
 
-def replay(spark: SparkSession, source: DataFrame, transform, key: str | None = None) -> DataFrame:
-    """Run a stream over files to its end (availableNow) into a Parquet table in the shared folder and read it."""
-    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+def replay(spark: SparkSession, source: DataFrame, transform, folder: str | None = None) -> DataFrame:
+    """Run a stream over files to its end (availableNow) into a Parquet table in the shared folder and read it; a folder of the caller's is resumed in later calls."""
+    base = folder or temporary(spark, "replay")
     out = transform(source)
     q = (
         out.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
@@ -38,11 +36,15 @@ def replay(spark: SparkSession, source: DataFrame, transform, key: str | None =
     return spark.read.schema(out.schema).parquet(f"{base}/rows")
 
 
-def latest_state(spark: SparkSession, source: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Latest row per key of a stream: each micro-batch is reduced and merged with the table so far, written under its number, so a repeated batch changes nothing."""
+def latest_state(spark: SparkSession, source: DataFrame, keys: list[str], order: list[str], folder: str | None = None) -> DataFrame:
+    """Latest row per key of a stream: each micro-batch is reduced and merged with the table so far, written under its number, so a repeated batch changes nothing.
+
+    The table before the last is kept for such a repeat, older ones are deleted;
+    a folder of the caller's is resumed in later calls.
+    """
     from tallygrove.operators.routing import latest_by_key
 
-    base = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    base = folder or temporary(spark, "state")
     schema = source.schema
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -50,12 +52,15 @@ def latest_state(spark: SparkSession, source: DataFrame, keys: list[str], order:
         if number:
             now = latest_by_key(now.unionByName(spark.read.schema(schema).parquet(f"{base}/{number - 1}")), keys, order).select(*schema.names)
         now.write.mode("overwrite").parquet(f"{base}/{number}")
-        last["n"] = number
+        if number > 1:
+            delete(spark, f"{base}/{number - 2}")
 
-    last = {"n": None}
     q = source.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.createDataFrame([], schema) if last["n"] is None else spark.read.schema(schema).parquet(f"{base}/{last['n']}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    done = max((int(n) for n in names if n.isdigit()), default=None)
+    return spark.createDataFrame([], schema) if done is None else spark.read.schema(schema).parquet(f"{base}/{done}")
 
 
 def rolling_replay(history: DataFrame, queries: DataFrame, windows: DataFrame, key: str) -> DataFrame:
