@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -45,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.llm.arrow import give_back, slices
-from tallygrove.session import shared_dir, small_side, text_batches
+from tallygrove.session import small_side, temporary, text_batches
 
 END = 2
 BLOCK_IDS = 1 << 20
@@ -357,7 +356,7 @@ def write_shards(
 ) -> str:
     """Encode docs and write the shard table; returns its folder."""
     spark = docs.sparkSession
-    out_dir = out_dir or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    out_dir = out_dir or temporary(spark, "token-shards")
 
     def run(batches):
         from pyspark import TaskContext
