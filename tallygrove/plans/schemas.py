@@ -123,4 +123,17 @@ SCHEMAS = {
     "score_blend": "doc_id bigint, blend double",
     "component_thresholds": "lang string, threshold double, coverage double, accuracy double",
     "sequential_exclusion": "doc_id bigint",
+    "fold_means": "lang string, queries bigint, top_1 double, map double, seconds bigint",
+    "triplet_cap": "anchor bigint, positive bigint, negative bigint, is_priority boolean",
+    "non_duplicates": "doc_id bigint, lang string",
+    "stage_outcome": "query_id bigint, n_gold bigint, found bigint, hit int, recall double, outcome string",
+    "patch_overlap": "l_orderkey bigint, n_predicted bigint, n_reference bigint, n_common bigint, exact boolean",
+    "gold_in_snapshot": "l_orderkey bigint, n_gold bigint, n_present bigint, any_present boolean, all_present boolean",
+    "change_audit": "split string, n bigint, changed_after_start bigint, changed_after_end bigint, eligible_history bigint",
+    "evidence_ablation": "cutoff int, source string, hits bigint, supported bigint, unique bigint, retained bigint",
+    "holdout_registry": "event_id bigint, content string, sealed boolean, n_runs bigint",
+    "review_queue": "doc_id bigint, confidence double, confidence_label string, review_priority string",
+    "demo_cases": "source string, doc_id bigint, is_miss boolean, place int",
+    "auprc": "positives bigint, total bigint, auprc double",
+    "quantile_grid": "step int, value double",
 }
