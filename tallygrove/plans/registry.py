@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.plans.schemas import SCHEMAS
 
-FAMILIES = ("temporal", "metrics", "text", "routing", "structure", "records", "scalars", "evaluation", "experiments")
+FAMILIES = ("temporal", "metrics", "text", "routing", "structure", "records", "scalars", "evaluation", "experiments", "files")
 #: Decimal places that both engines keep of a double, as sums come in another order.
 PLACES = 6
 _SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}

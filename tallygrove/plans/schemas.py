@@ -136,4 +136,22 @@ SCHEMAS = {
     "demo_cases": "source string, doc_id bigint, is_miss boolean, place int",
     "auprc": "positives bigint, total bigint, auprc double",
     "quantile_grid": "step int, value double",
+    "csv_tickets": "ticket_id string, title string, duplicate_of string, size int",
+    "jsonl_scan": "doc_id bigint, digest string, broken boolean",
+    "record_scan": "id string, name string",
+    "tracker_pages": "kind string, ticket_id string, title string",
+    "structured_tickets": "ticket_id string, bug_type string, error_message string, steps string",
+    "history_records": "ticket_id string, known_at timestamp_ntz, label_availability_source string",
+    "record_import": "id bigint, v double",
+    "labelled_text": "s_suppkey bigint, title string, os string, version string",
+    "vocabulary": "value string, n bigint",
+    "json_repair": "p_partkey bigint, size int, tags string",
+    "symbol_spans": "path string, symbol string, line int, end_line int, id_length int",
+    "diff_hunks": "s_suppkey bigint, path string, line int, kind string",
+    "stage_checkpoints": "stage string, ticket_id string, name string",
+    "feedback_log": "day string, n bigint, first_event bigint",
+    "embedding_cache": "text string, n bigint, total double, encoded bigint",
+    "time_forms": "event_id bigint, at timestamp_ntz",
+    "resume_ids": "ticket_id bigint",
+    "symbol_match": "k bigint, match string",
 }
