@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tallygrove.llm.arrow import slices
+from tallygrove.llm.arrow import give_back, slices
 from tallygrove.session import text_batches
 
 #: Fixed value: the pre-token pattern of this family of vocabularies.
@@ -227,6 +227,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     [part["_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["_id", "n_tokens", "ids"],
                 )
+        give_back()
 
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))

@@ -54,7 +54,8 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     many = digests.groupBy("_digest").agg(F.count("*").alias("_n")).where("_n > 1").select("_digest")
     many = small_side(many)
     rows = materialize(_keyed(docs, id_col, text_col).join(many, "_digest", "left_semi"), "exact-rows")
-    groups = text_groups(rows, salts)
+    # Written, so that the lookup has an exchange on either side and AQE may split a hot text.
+    groups = materialize(text_groups(rows, salts), "exact-groups")
     met = rows.join(groups, ["_digest", "_body"]).drop("_body")
     alone = digests.join(many, "_digest", "left_anti").withColumns({"keep_id": F.col("_id"), "group_size": F.lit(1).cast("long")})
     return met.unionByName(alone).select(

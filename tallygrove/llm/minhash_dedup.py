@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.operators.cluster import connected_components
-from tallygrove.llm.arrow import slices
+from tallygrove.llm.arrow import give_back, slices
 from tallygrove.session import BROADCAST_ROWS, materialize, release, small_side, text_batches
 
 WORDS = 5
@@ -172,6 +172,7 @@ def _sketch(batches):
             ],
             ["id", "hash", "words", "n_shingles", "sig", "bands"],
         )
+    give_back()
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,6 +189,7 @@ def _shingles(batches):
         batch = batch.filter(own)
         sets = [shingle_set(words_of(t), hashes).tobytes() for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "shingles"])
+    give_back()
 
 
 def _signatures(column) -> np.ndarray:
@@ -396,11 +398,11 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
         final.withColumnRenamed("id", "node"), "node", "left"
     )
     named = named.select("node", "w", "rep", F.coalesce("component", "node").alias("c"))
-    best = named.groupBy("c").agg(F.min(F.struct("rep", "node")).alias("b"))
-    # Written, so that the lookup of rows has an exchange on either side and AQE may split a hot text.
+    # Written, both, so that the lookups have an exchange on either side and AQE may split a hot component or text.
+    best = materialize(named.groupBy("c").agg(F.min(F.struct("rep", "node")).alias("b")), "minhash-best")
     labels = named.join(best, "c").select("w", "rep", F.col("b.rep").alias("component_id"), (F.col("b.node") == F.col("node")).alias("best"))
     labels = materialize(labels, "minhash-labels")
-    for done in (nodes, reps, final):
+    for done in (nodes, reps, final, best):
         release(done)
     return rows, labels
 
