@@ -188,7 +188,8 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
     found = scan(docs, out_col="_pii").drop("text")
     counts = [F.size(F.filter("_pii", _is(kind))).cast("long").alias(f"n_{kind}") for kind in BASE]
     base = F.filter("_pii", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_pii")).alias("spans"))
+    scores = F.array_join(F.transform("_pii", lambda s: s["score"].cast("string")), ",").alias("scores")
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_pii")).alias("spans"), scores)
 
 
 def _is(kind: str):
@@ -231,14 +232,15 @@ def _oracle() -> str:
     for k, kind in enumerate(BASE + ADDED):
         p = PLAIN[kind]
         cond = valid[kind]
+        score = f"{SCORES[kind]} + CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{RAISE[kind]})') THEN 0.3 ELSE 0 END"
+        if kind in LOWER:
+            score += f" - CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{LOWER[kind]})') THEN 0.2 ELSE 0 END"
+        score = f"round(least(1.0, greatest(0.0, ({score})::DOUBLE)), 2)"
         if kind in BESIDE:
             cond += f" AND NOT regexp_matches(CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END || substr(t, s + length(h) + 1, 1), '{BESIDE[kind]}')"
-            score = f"{SCORES[kind]} + CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{RAISE[kind]})') THEN 0.3 ELSE 0 END"
-            if kind in LOWER:
-                score += f" - CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{LOWER[kind]})') THEN 0.2 ELSE 0 END"
-            cond += f" AND round({score}, 2) >= {LIMIT}"
+            cond += f" AND {score} >= {LIMIT}"
         parts.append(
-            f"SELECT doc_id, {k} AS k, '{kind}' AS kind, s, s + length(h) AS e FROM (SELECT doc_id, t, h[i] AS h, "
+            f"SELECT doc_id, {k} AS k, '{kind}' AS kind, s, s + length(h) AS e, {score} AS score FROM (SELECT doc_id, t, h[i] AS h, "
             "(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s "
             f"FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS h, regexp_split_to_array(t, '{p}') AS g "
             f"FROM d WHERE regexp_matches(t, '{p}')))) WHERE {cond}"
@@ -247,7 +249,7 @@ def _oracle() -> str:
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
     return (
         "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (" + " UNION ALL ".join(parts) + f") SELECT d.doc_id, {counts}, "
-        f"sha256(coalesce({listed} FILTER (k < {len(BASE)}), '')) AS base_sha256, coalesce({listed}, '') AS spans FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"
+        f"sha256(coalesce({listed} FILTER (k < {len(BASE)}), '')) AS base_sha256, coalesce({listed}, '') AS spans, coalesce(string_agg(score::VARCHAR, ',' ORDER BY k, s), '') AS scores FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"
     )
 
 
