@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.operators.cleaning import canonical
 from tallygrove.operators.cluster import connected_components
-from tallygrove.operators.temporal import interval_join
+from tallygrove.operators.temporal import interval_join, running_total
 from tallygrove.session import materialize, release
 
 
@@ -99,12 +99,12 @@ def enough_history(rows: DataFrame, key: str, least: int) -> tuple[DataFrame, Da
 
 
 def disjoint_holdout(rows: DataFrame, group: str, share: float, seed: str = "holdout") -> DataFrame:
-    """(group, part): whole groups in the order of a seeded hash go to the holdout until it has its share. One row a group."""
+    """(group, part): whole groups in the order of a seeded hash go to the holdout until it has its share. Groups are scanned in cells of hashes."""
     c = rows.groupBy(group).agg(F.count("*").alias("n"))
     h = F.sha2(F.concat_ws("|", F.lit(seed), F.col(group).cast("string")), 256)
-    w = Window.partitionBy(F.lit(1)).orderBy(h).rowsBetween(Window.unboundedPreceding, 0)
     t = c.agg(F.sum("n").alias("_t"))
-    run = c.withColumn("_s", F.sum("n").over(w)).crossJoin(F.broadcast(t))
+    cell = F.conv(F.substring("_h", 1, 3), 16, 10).cast("long")
+    run = running_total(c.withColumn("_h", h), ["_h"], cell, {"_s": F.col("n")}).crossJoin(F.broadcast(t))
     return run.select(group, "n", F.when(F.col("_s") <= F.col("_t") * share, "holdout").otherwise("train").alias("part"))
 
 
