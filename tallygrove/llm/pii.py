@@ -4,7 +4,7 @@ Base kinds, leftmost and non-overlapping for each kind, failing matches dropped:
 email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (9 to 15
 digits). Added kinds: iban (length of its country, mod-97), national_id and local_phone, which count
 only if a context word before them lifts their score to ``LIMIT``. Base spans
-always stay; their scores are adjusted too.
+always stay; their scores are adjusted and returned too.
 
 The patterns are the plain ones with possessive quantifiers and a guard against
 starting inside a run, which finds the same matches in linear time and without
