@@ -221,13 +221,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", 4 << 20):
                 ids = [bpe.encode(t) for t in part["_text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part["_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["_id", "n_tokens", "ids"],
                 )
-        give_back()
+            give_back()
 
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
