@@ -166,7 +166,9 @@ def hand_written(spark, part: int) -> DataFrame:
         candidate, _, after = rest.partition("]]")
         before = head.replace("[[", "").replace("]]", "")
         rows.append((before[-NEAR:], candidate, after[:NEAR], path, float(label)))
-    return spark.createDataFrame(rows, "before string, candidate string, after string, path string, is_secret double")
+    names = ("before", "candidate", "after", "path", "is_secret")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+    return spark.range(1).select(F.explode(listed).alias("r")).select("r.*")
 
 
 #: Words that the generated findings are made of.
@@ -235,12 +237,14 @@ def scan(
     """One row for each candidate: id, path, start, end, candidate, score, is_secret."""
     spark = docs.sparkSession
     found = materialize(candidates(docs, id_col, text_col, path_col).withColumnRenamed(id_col, "_id"), "secret-candidates")
-    findings = labelled_findings(spark).unionByName(hand_written(spark, 0))
+    # Written, as a fit reads its few rows many times.
+    findings = materialize(labelled_findings(spark).unionByName(hand_written(spark, 0)), "secret-findings")
     # The generated findings' own words count as words too.
-    own = spark.createDataFrame([(w,) for w in NAMES], "word string")
+    own = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in NAMES])).alias("word"))
     words = dictionary(docs, found.select("candidate").unionByName(findings.select("candidate")), text_col)
     words = small_side(words.unionByName(own).distinct())
-    model = model or fit(with_coverage(findings, words))
+    if model is None:
+        model = fit(materialize(with_coverage(findings, words), "secret-findings"))
     scored = model.transform(features(with_coverage(found, words)))
     score = F.get(vector_to_array("_probability"), F.lit(1))
     return scored.select(
