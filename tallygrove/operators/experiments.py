@@ -39,7 +39,11 @@ def stage_outcome(ranked: DataFrame, gold: DataFrame, query: str, item: str, ran
     """(query, n_gold, found, hit, recall, outcome): whether all, some or none of the gold items are among the first k."""
     top = ranked.where(F.col(rank) <= k).select(query, item).distinct().withColumn("_f", F.lit(1))
     met = gold.select(query, item).distinct().join(top, [query, item], "left")
-    g = met.groupBy(query).agg(F.count("*").alias("n_gold"), F.count("_f").alias("found"))
+    return outcomes(met.groupBy(query).agg(F.count("*").alias("n_gold"), F.count("_f").alias("found")))
+
+
+def outcomes(g: DataFrame) -> DataFrame:
+    """The columns of stage_outcome() from counts n_gold and found."""
     outcome = F.when(F.col("found") == 0, "miss").when(F.col("found") < F.col("n_gold"), "partial").otherwise("full")
     return g.withColumns({"hit": (F.col("found") > 0).cast("int"), "recall": F.col("found") / F.col("n_gold"), "outcome": outcome})
 
