@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallygrove.operators.vectors import VectorSearch
+from tallygrove.operators import vectors
+from tallygrove.operators.vectors import VectorSearch, best_matches
 from tallygrove.plans import routing
 from tallygrove.plans.metrics import embedding_ranks
 from tests.harness import compare, duck
@@ -89,3 +90,52 @@ def test_pairs_of_labels_far_down_the_ranking(spark, tmp_path):
     con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet/*.parquet'")
     for name in ("triplets_hard", "pairwise_rows"):
         assert compare(routing.QUERIES[name](spark, sf), con, routing.ORACLES[name]) > 0
+
+
+def test_blocks_keep_ids_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(vectors, "POSTINGS", 2)
+    rng = random.Random(6)
+    ids = np.array(sorted(rng.randrange(40) for _ in range(300)) + [50] * 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.arange(len(ids))), pa.array(np.ones(len(ids)))], names=["id", "t", "w"])
+    for most in (None, 3):
+        blocks = [b for out in vectors._postings(most)(batch.slice(i, 7) for i in range(0, len(ids), 7)) for b in out.to_pylist()]
+        held = [set(np.frombuffer(b["ids"], np.int64).tolist()) for b in blocks]
+        assert sum(map(len, held)) == len(set().union(*held)) == len(set(ids.tolist()))
+        assert np.concatenate([np.frombuffer(b["tokens"], np.int64) for b in blocks]).tolist() == list(range(len(ids)))
+        assert most is None or max(map(len, held)) <= most
+
+
+def test_best_matches_with_ties_and_copies(spark):
+    rng = random.Random(5)
+    texts = [{rng.choice("abcdefghijklmnop") * rng.randrange(1, 9): rng.randrange(1, 4) / 2 for _ in range(rng.randrange(0, 9))} for _ in range(60)]
+    docs = [(i, rng.choice(texts)) for i in range(1500)]
+    rows = [(i, t, w) for i, d in docs for t, w in d.items()]
+    df = spark.createDataFrame(rows, "id long, token string, w double").repartition(7)
+    q = df.where("id % 5 = 0").withColumnRenamed("id", "qid")
+    want = set()
+    for i, x in docs[::5]:
+        near = sorted((-round(sum(w * d[t] for t, w in x.items() if t in d), 6), j) for j, d in docs if j != i and x.keys() & d.keys())
+        want |= {(i, j, -s) for s, j in near[:4]}
+    # More than one batch to a partition.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = [tuple(r) for r in best_matches(q, df, "qid", "id", 4, places=6, others=True).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for r in found:
+        by.setdefault(r[0], []).append((-r[2], r[1]))
+    assert {(i, j, -s) for i, rs in by.items() for s, j in sorted(rs)[:4]} == want
+
+
+def test_retrieval_makes_no_rows_of_pairs(spark):
+    """Rankings come from packed blocks: no join on tokens pairs queries with documents."""
+    from tests.conftest import TINY
+
+    from tallygrove.plans import text as plans
+
+    for name in ("title_similarity", "tfidf_topk", "bm25_topk", "bm25f_related"):
+        assert "Join" not in plans.QUERIES[name](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
