@@ -139,3 +139,27 @@ def test_retrieval_makes_no_rows_of_pairs(spark):
 
     for name in ("title_similarity", "tfidf_topk", "bm25_topk", "bm25f_related"):
         assert "Join" not in plans.QUERIES[name](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_jaccard_pairs_against_all_pairs(spark):
+    """Near copies of long and short texts, and of sets at the threshold; sets are read for pairs that parities leave only."""
+    from tallygrove.operators import text as X
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for n in (1, 4, 5, 9, 10, 40, 300, 700):
+        for _ in range(4):
+            base = rng.sample(words, n)
+            texts += [base, base[: max(1, n - n // 10)] + ["x"] * (n % 2), base[n // 5 :] or base, base + ["y" + str(i) for i in range(n // 4)]]
+    got = X.jaccard_pairs(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string"), "id", F.col("text"))
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    sets = [frozenset(X_ for X_ in t if len(X_) > 1) for t in texts]
+    least = {}
+    for i, s in enumerate(sets):
+        least.setdefault(s, i)
+    ids = sorted(i for s, i in least.items() if s)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in ids for b in ids if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.8} | {(least[s], i): 1.0 for i, s in enumerate(sets) if s and least[s] < i}
+    found = {(r.a, r.b): r.jaccard for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
