@@ -92,6 +92,30 @@ def test_pairs_of_labels_far_down_the_ranking(spark, tmp_path):
         assert compare(routing.QUERIES[name](spark, sf), con, routing.ORACLES[name]) > 0
 
 
+def test_products_in_32_bits_lose_no_neighbour(monkeypatch):
+    """Scores nearer to each other than 32 bits tell are ranked by their 64 bits; whole blocks have no products in 64."""
+    import numpy as np
+
+    def block(ids, x):
+        none = np.zeros(len(ids), np.int64)
+        return vectors._Block(len(ids), x.shape[1], np.array(ids).tobytes(), none.tobytes(), (none == 0).tobytes(), x.tobytes(), b"", b"")
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 64))
+    x = base[rng.integers(0, 3, 4000)] + rng.normal(size=(4000, 64)) * 1e-4 * rng.integers(1, 4, (4000, 1))
+    q, whole = block(range(20), x[:20]), block(range(4000), x)
+    s = np.round(q.scores(0, 20, whole), 6)
+    want = [sorted((-s[i, j], j) for j in range(4000) if j != i)[:10] for i in range(20)]
+    monkeypatch.setattr(vectors._Block, "scores", None)
+    pairs = [(0, q, block(range(a, min(a + 900, 4000)), x[a : a + 900])) for a in range(0, 4000, 900)]
+    monkeypatch.setattr(vectors, "_pairs", lambda batches: pairs)
+    (got,) = vectors._search(10, False)([])
+    found = {}
+    for r in got.to_pylist():
+        found.setdefault(r["query_id"], []).append((-r["score"], r["item_id"]))
+    assert [sorted(found[i]) for i in range(20)] == want
+
+
 def test_blocks_keep_ids_whole(monkeypatch):
     import numpy as np
     import pyarrow as pa
