@@ -137,3 +137,21 @@ def test_trailing_sums_scan_moments_not_rows(spark):
     before = lambda k, t, d: sum(r[3] for r in rows if r[1] == k and r[2] < t and (d is None or r[2] >= t - dt.timedelta(days=d)))
     want = sorted((i, k, t, before(k, t, None), before(k, t, 1)) for i, k, t, _ in rows)
     assert sorted((r.id, r.key, r["at"], r.s_all, r.s_1d) for r in got.collect()) == want
+
+
+def test_owner_counts_deal_rows_out_by_their_number(spark, monkeypatch):
+    """Tasks get a bounded number of rows, however large the table; nulls are values of their own."""
+    from collections import Counter
+
+    from tallygrove import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), rng.choice(["a", "b", None]), rng.choice(["x", None])) for _ in range(400)]
+    got = routing.owner_counts(spark.createDataFrame(rows, "owner long, component string, product string"))
+    assert "RepartitionByExpression [level#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "], 40" in plan
+    want = Counter()
+    for o, c, p in rows:
+        for level in (("pair", o, c, p), ("component", o, c, None), ("product", o, None, p), ("global", o, None, None)):
+            want[level] += 1
+    assert {(r.level, r.owner, r.component, r["product"]): r.n for r in got.collect()} == want and got.count() == len(want)
