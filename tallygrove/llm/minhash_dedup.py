@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.operators.cluster import connected_components
 from tallygrove.llm.arrow import give_back, slices
-from tallygrove.session import BROADCAST_ROWS, materialize, release, small_side, text_batches
+from tallygrove.session import BROADCAST_ROWS, free_shuffles, materialize, release, small_side, text_batches
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -369,6 +369,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     star = buckets.where("node > hub").select(F.col("node").alias("b"), F.col("hub").alias("a")).distinct()
     star = star.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated, "a long, b long")
     star = materialize(star, "minhash-star")
+    # Here and below, so that plans and metrics of finished phases don't add up in the driver.
+    free_shuffles(spark)
 
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
     wanted = materialize(wanted.select("id", "node", F.col("hash").alias("of")), "minhash-wanted")
@@ -377,7 +379,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     sets = texts.join(chosen, "id").select("node", "hash", "of", "text").mapInArrow(_shingles, "node long, shingles binary")
     sets = materialize(sets.dropDuplicates(["node"]) if repeated else sets, "minhash-sets")
     links = materialize(_links(star, sets), "minhash-links")
+    free_shuffles(spark)
     first = materialize(connected_components(links), "minhash-first")
+    free_shuffles(spark)
 
     labelled = buckets.join(first.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "key", F.coalesce("component", "node").alias("comp")
@@ -390,6 +394,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     again = met.join(nodes.select("node", "n_shingles", "sig", "bands"), "node").join(sets, "node")
     again = again.repartition(parts, *pair).sortWithinPartitions(*pair)
     extra = materialize(again.mapInArrow(_across, "a long, b long"), "minhash-across")
+    free_shuffles(spark)
     final = materialize(connected_components(links.unionByName(extra)), "minhash-final")
     for done in (buckets, star, wanted, sets, links, first, met, extra):
         release(done)
@@ -404,6 +409,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     labels = materialize(labels, "minhash-labels")
     for done in (nodes, reps, final, best):
         release(done)
+    free_shuffles(spark)
     return rows, labels
 
 

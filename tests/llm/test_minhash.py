@@ -74,3 +74,13 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
             w[rng.randrange(120)] = f"y{rng.randrange(10**6)}"
         rows.append((k, " ".join(w)))
     assert {r[0]: (r[1], r[2]) for r in _run(spark, rows)} == near_components(rows)
+
+
+def test_finished_phases_are_let_go(spark, monkeypatch):
+    """The driver lets go of plans and shuffles between phases, not only when its heap is full."""
+    from tallygrove.llm import minhash_dedup as M
+
+    calls, free = [], M.free_shuffles
+    monkeypatch.setattr(M, "free_shuffles", lambda s: (calls.append(1), free(s)))
+    M._labelled(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"), "doc_id", "text")
+    assert len(calls) >= 4
