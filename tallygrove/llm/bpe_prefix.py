@@ -37,7 +37,7 @@ from tallygrove.session import text_batches
 #: Fixed value: the pre-token pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of one generation of a cache; a Python worker holds two of each, so some 100 MB in all.
+#: Entries of one generation of the cache of ids; a Python worker holds two while it encodes.
 CACHED = 100_000
 #: Characters up to which a piece is worth caching.
 SHORT = 48
@@ -114,8 +114,11 @@ class PrefixBPE:
             if self.added
             else None
         )
-        self.pretokens, self.pieces = Recent(), Recent()
-        self.may_follow: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches. A pre-token that stands alone is cut to itself, so pieces and pre-tokens share one."""
+        self.known, self.may_follow = Recent(), {}
 
     def _follows(self, a: int, b: int) -> bool:
         """Whether BPE leaves tokens of ranks a and b side by side."""
@@ -136,7 +139,7 @@ class PrefixBPE:
 
     def pretoken(self, raw: str) -> bytes:
         """Ids of one pre-token."""
-        found = self.pretokens.get(raw)
+        found = self.known.get(raw)
         if found is not None:
             return found
         s = raw.encode("utf-8").decode("latin-1")
@@ -167,18 +170,18 @@ class PrefixBPE:
             at -= length[r]
         found = np.array(out[::-1], "<u4").tobytes()
         if n <= SHORT:
-            self.pretokens.put(raw, found)
+            self.known.put(raw, found)
         return found
 
     def _whole(self, text: str) -> bytes:
         return b"".join([self.pretoken(x) for x in self.cut(text)])
 
     def _piece(self, piece: str) -> bytes:
-        out = self.pieces.get(piece)
+        out = self.known.get(piece)
         if out is None:
             out = self._whole(piece)
-            if len(piece) <= SHORT:
-                self.pieces.put(piece, out)
+            if len(piece) <= SHORT and piece not in self.known.new:
+                self.known.put(piece, out)
         return out
 
     def _ordinary(self, text: str) -> bytes:
@@ -187,10 +190,10 @@ class PrefixBPE:
         if _LONG_BLANKS.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
-        known, out = self.pieces.new.get, [self._whole(first)]
+        known, out = self.known, [self._whole(first)]
         for x in rest:
             x = " " + x
-            out.append(known(x) or self._piece(x))
+            out.append(known.new.get(x) or self._piece(x))
         return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
@@ -211,7 +214,7 @@ class PrefixBPE:
 
 @lru_cache(maxsize=4)
 def load(path: str) -> PrefixBPE:
-    """One encoder for each Python worker and vocabulary; its caches outlive a task."""
+    """One encoder for each Python worker and vocabulary, which outlives a task; its caches don't."""
     return PrefixBPE(path)
 
 
@@ -228,6 +231,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     ["_id", "n_tokens", "ids"],
                 )
             give_back()
+        # An idle worker stays beside the tasks of other stages.
+        bpe.forget()
+        give_back()
 
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))

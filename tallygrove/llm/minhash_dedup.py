@@ -172,6 +172,7 @@ def _sketch(batches):
             ],
             ["id", "hash", "words", "n_shingles", "sig", "bands"],
         )
+    del hashes
     give_back()
 
 
@@ -189,6 +190,7 @@ def _shingles(batches):
         batch = batch.filter(own)
         sets = [shingle_set(words_of(t), hashes).tobytes() for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], ["node", "shingles"])
+    del hashes
     give_back()
 
 

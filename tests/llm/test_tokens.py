@@ -194,3 +194,44 @@ def test_op8_repeated_rows_and_a_very_long_text(spark):
     got = sorted(tuple(r) for r in S.read_shards(spark, S.write_shards(df, WORD)).select("doc_id", "start", "n_tokens").collect())
     n = 600_000 * len(Tokenizer.from_file(WORD).encode("ab", add_special_tokens=False).ids) + 1
     assert got == [(5, 3 * k, 3) for k in range(700)] + [(7, 2100, n)]
+
+
+def test_encoder_holds_a_word_once_and_nothing_after_a_task():
+    """A word that is both a piece and a pre-token is held once; an idle worker holds no words."""
+    from pyspark.sql import functions as F
+
+    from tallygrove.llm import bpe_prefix
+
+    bpe = bpe_prefix.PrefixBPE(bpe_prefix.vocabulary())
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    first = bpe.encode(text)
+    assert sum(len(x) for c in vars(bpe).values() if isinstance(c, bpe_prefix.Recent) for x in (c.new, c.old)) == 600
+    assert bpe.encode(text) == first
+    run = {}
+
+    class Docs:
+        sparkSession = None
+
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, f, schema):
+            run["f"] = f
+            return self
+
+        def withColumnRenamed(self, *names):
+            return self
+
+    import pyarrow as pa
+    import pytest
+
+    path = bpe_prefix.vocabulary()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe_prefix, "text_batches", lambda spark: None)
+        m.setattr(F, "col", lambda name: type("C", (), {"cast": lambda self, t: self, "alias": lambda self, n: self})())
+        bpe_prefix.encode(Docs(), path)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["_id", "_text"])
+    (out,) = run["f"]([batch])
+    assert out["ids"][0].as_py() == first
+    held = bpe_prefix.load(path)
+    assert not any(c.new or c.old for c in vars(held).values() if isinstance(c, bpe_prefix.Recent)) and not held.may_follow

@@ -155,3 +155,26 @@ def test_owner_counts_deal_rows_out_by_their_number(spark, monkeypatch):
         for level in (("pair", o, c, p), ("component", o, c, None), ("product", o, None, p), ("global", o, None, None)):
             want[level] += 1
     assert {(r.level, r.owner, r.component, r["product"]): r.n for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    """Shuffle files don't wait for the driver's garbage collection."""
+    import glob
+    import time
+
+    from tallygrove.session import materialize
+
+    def files():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    before = files()
+    df = spark.range(5000).repartition(3, "id")
+    out = materialize(df, "shuffled")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 5000 and df.count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
