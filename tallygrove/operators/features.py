@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tallygrove.session import text_batches
 
 #: The pattern of each family of terms, on lower-cased text.
 FAMILIES = {
@@ -56,26 +64,61 @@ BUILD_ID = r"\b(?:build id|buildid|i20[0-9]{6,})\b"
 VERSION = r"\b[0-9]+\.[0-9]+(?:\.[0-9]+)?\b"
 
 
+#: Families a match of which may begin with no letter where the last one ended: counts look at what is before, which RE2 forgets then.
+JOINED = {f for f in FAMILIES if f in ("has_internal_error_terms", "has_file_line_stack_terms")}
+
+
+def _pieces(batch, most: int = 8 << 20):
+    """Slices of a batch of about ``most`` bytes, as a batch holds whole texts."""
+    rows = max(1, batch.num_rows * most // max(most, batch.nbytes))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def _matches(texts: pa.Array, name: str) -> pa.Array:
+    n = pc.count_substring_regex(texts, FAMILIES[name]).cast(pa.int32())
+    if name not in JOINED:
+        return n
+    n, whole = n.to_numpy().copy(), re.compile(FAMILIES[name], re.ASCII)
+    for i in np.flatnonzero(n).tolist():
+        n[i] = sum(1 for _ in whole.finditer(texts[i].as_py()))
+    return pa.array(n)
+
+
+def _terms(batches):
+    """Rows (id, summary, description, other columns) as (id, flags and counts of families, flags of ids and versions, other columns)."""
+    for batch in batches:
+        for part in _pieces(batch):
+            summary = part["_s"]
+            text = pc.binary_join_element_wise(summary, part["_d"], "\n")
+            flag = lambda t, p: pc.match_substring_regex(t, p).cast(pa.int32())
+            out = {part.schema.names[0]: part.column(0)}
+            for name, pattern in FAMILIES.items():
+                n = _matches(text, name)
+                out |= {name: pc.greater(n, 0).cast(pa.int32()), f"summary_{name}": flag(summary, pattern), f"{name}_count": n}
+            out |= {"contains_build_id": flag(text, BUILD_ID), "contains_version_number": flag(text, VERSION)}
+            out |= {c: part[c] for c in part.schema.names[3:]}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+
 def keyword_features(df: DataFrame, id_col: str, summary: Column, description: Column) -> DataFrame:
-    """One row for each row of df: of each family a flag and count in the text and a flag in the summary, sums of flags, lengths and counts. Nulls count as empty."""
+    """One row for each row of df: of each family a flag and count in the text and a flag in the summary, sums of flags, lengths and counts. Nulls count as empty.
+
+    Families are matched by RE2, whose time doesn't grow with the alternatives of a pattern, and in which words are of ASCII.
+    """
+    text_batches(df.sparkSession)
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     rows = df.select(id_col, low(summary).alias("_s"), low(description).alias("_d"))
-    text = F.concat("_s", F.lit("\n"), "_d")
-    # The counts are made once, in an array, and flags follow from them.
-    count = lambda t: F.array(*[F.regexp_count(t, F.lit(p)) for p in FAMILIES.values()])
-    rows = rows.withColumns({"_n": count(text), "_m": count(F.col("_s"))})
-    cols = {}
-    for i, name in enumerate(FAMILIES):
-        n, m = F.get("_n", F.lit(i)), F.get("_m", F.lit(i))
-        cols |= {name: (n > 0).cast("int"), f"summary_{name}": (m > 0).cast("int"), f"{name}_count": n}
     words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    cols |= {
+    cols = {
         "summary_char_len": F.length("_s"), "description_char_len": F.length("_d"), "summary_word_count": words(F.col("_s")),
         "description_word_count": words(F.col("_d")), "description_line_count": F.regexp_count("_d", F.lit("\n")) + 1,
         "stack_trace_line_count": F.regexp_count("_d", F.lit(STACK_LINE)), "summary_exclamation_count": F.regexp_count("_s", F.lit("!")),
-        "contains_build_id": text.rlike(BUILD_ID).cast("int"), "contains_version_number": text.rlike(VERSION).cast("int"),
     }
-    out = rows.select(id_col, *[c.alias(n) for n, c in cols.items()])
+    names = [*[x for f in FAMILIES for x in (f, f"summary_{f}", f"{f}_count")], "contains_build_id", "contains_version_number", *cols]
+    form = StructType([df.schema[id_col], *[StructField(c, IntegerType()) for c in names]])
+    met = rows.select(id_col, "_s", "_d", *[c.cast("int").alias(n) for n, c in cols.items()]).mapInArrow(_terms, form)
+    out = met.select(id_col, *[c for c in COLUMNS if c in names])
     total = lambda names, head="": sum((F.col(head + n) for n in names[1:]), F.col(head + names[0]))
     sums = {f"{k}_signal_count": total(v) for k, v in SIGNALS.items()}
     sums |= {f"summary_{k}_signal_count": total(SIGNALS[k], "summary_") for k in ("high_priority", "p2_boundary")}

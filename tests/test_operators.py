@@ -178,3 +178,20 @@ def test_shuffles_go_when_a_table_is_written(spark):
     assert not files() - before
     assert out.count() == 5000 and df.count() == 5000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_keyword_families_as_in_sql(spark):
+    """Counts of RE2, with what stands before a match, on words beside letters beyond ASCII and on matches that touch."""
+    import duckdb
+
+    from tallygrove.operators import features as K
+
+    texts = ["écrash crashé crashes", "error log.log a.log.log", "a.java:1/.java:5 b.java:2/c.xml:3", "at org.foo at org.", "", "Slow\nUI hangs, hung; locks up"]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "id long, s string, d string")
+    got = {r.id: r for r in K.keyword_features(df, "id", F.col("s"), F.col("d")).collect()}
+    con = duckdb.connect()
+    for i, t in enumerate(texts):
+        for name, p in K.FAMILIES.items():
+            (want,) = con.execute("SELECT len(regexp_extract_all(lower(?), ?))", [f"{t}\n{t}", p]).fetchone()
+            (flag,) = con.execute("SELECT regexp_matches(lower(?), ?)::INT", [t, p]).fetchone()
+            assert (got[i][f"{name}_count"], got[i][name], got[i][f"summary_{name}"]) == (want, int(want > 0), flag), (t, name)
