@@ -187,3 +187,33 @@ def test_jaccard_pairs_against_all_pairs(spark):
     want = {k: v for k, v in want.items() if v >= 0.8} | {(least[s], i): 1.0 for i, s in enumerate(sets) if s and least[s] < i}
     found = {(r.a, r.b): r.jaccard for r in got.collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_shares_of_retrieval_tasks_are_bounded(spark, monkeypatch):
+    """More text is counted and packed by more tasks, not by larger ones; the session's settings stay."""
+    from tallygrove import session
+    from tallygrove.operators import vectors
+    from tallygrove.plans import text as plans
+    from tests.conftest import TINY
+
+    files = {}
+
+    def noted(df, tag, *more):
+        out = session.materialize(df, tag, *more)
+        files[tag] = max(files.get(tag, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(plans, "materialize", noted), monkeypatch.setattr(vectors, "materialize", noted)
+    chars = spark.read.parquet(f"{TINY}/documents.parquet").selectExpr("sum(length(text))").first()[0]
+    monkeypatch.setattr(session, "TASK_CHARS", chars // 30, raising=False)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        for name in ("tfidf_topk", "bm25_topk", "bm25f_related"):
+            files.clear()
+            plans.QUERIES[name](spark, TINY)
+            assert files["terms"] > 20 and files["postings"] > 20
+            assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    finally:
+        spark.conf.unset(key)
