@@ -58,9 +58,9 @@ def repaired_json(text: Column, schema: str) -> Column:
     return F.from_json(F.regexp_replace(body, r",\s*([}\]])", "$1"), schema)
 
 
-def missing_fields(columns: dict[str, Column]) -> Column:
-    """Names of the columns that hold nothing."""
-    return F.array_compact(F.array(*[F.when(canonical(c.cast("string")).isNull(), n) for n, c in columns.items()]))
+def missing_fields(columns: dict[str, Column], held=canonical) -> Column:
+    """Names of the columns that hold nothing: those of which ``held``, by default the value unless it is a placeholder, is null."""
+    return F.array_compact(F.array(*[F.when(held(c.cast("string")).isNull(), n) for n, c in columns.items()]))
 
 
 def one_snapshot(rows: DataFrame, snapshots: DataFrame, id_col: str, ts: str, start: str, end: str) -> DataFrame:

@@ -50,3 +50,19 @@ def test_sequential_exclusion(spark):
     got = routing.exclude_sequential(rows, "id", ["k1", "k2"], {"k1": hist})
     # 2 is blocked by 1; 3 shares y with 2, which was dropped, so 3 stays and blocks 4; 5 is in history.
     assert sorted(r.id for r in got.collect()) == [1, 3, 6]
+
+
+def test_sufficiency_of_placeholders_and_blanks(spark, tmp_path):
+    """Empty and placeholder values aren't missing, blanks of Unicode make no title; as in the SQL."""
+    import duckdb
+
+    from tallygrove.plans import records as plans
+    from tests.harness import compare
+
+    titles = [None, "", "n/a", "None", "-", "--", "unknown", "null", " ", "\t", "\r", "\x0b", "\u00a0", "\u2003 ", "\u3000", "\u200b", "\u0085", " \u1680n/a"]
+    texts = [t and t + rest for t in titles for rest in ("", "\n", "\nrest", "\n" + "\U0001f468" * 200, "x" * 199)]
+    rows = [(i, t, lang) for i, t in enumerate(texts) for lang in (None, "", " ", "en", "n/a", "none")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(plans.ticket_sufficiency(spark, str(tmp_path)), con, plans.SUFFICIENT) > 8
