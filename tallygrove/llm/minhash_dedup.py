@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.operators.cluster import connected_components
 from tallygrove.llm.arrow import give_back, slices
-from tallygrove.session import BROADCAST_ROWS, free_shuffles, materialize, release, small_side, text_batches
+from tallygrove.session import BROADCAST_ROWS, free_shuffles, materialize, measured_joins, release, small_side, text_batches
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -349,8 +349,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The written sketches of docs, and (w, rep, component_id, best) for each sequence of words: its least id, that of its component, and whether it is the component's one to keep."""
+    text_batches(docs.sparkSession)
+    with measured_joins(docs.sparkSession):
+        return _grouped(docs, id_col, text_col)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    text_batches(spark)
     rows = materialize(sketches(docs, id_col, text_col), "minhash-sketch")
     some = rows.where("words is not null and id is not null")
     reps = materialize(some.groupBy("words").agg(F.min("id").alias("rep")), "minhash-reps")
@@ -420,7 +425,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows, labels = _labelled(docs, id_col, text_col)
     met = rows.where("id is not null").join(labels, F.col("words") == F.col("w"))
     met = met.where(~F.col("best") | (F.col("id") != F.col("rep"))).select(F.col("id").alias("_gone"), F.col("hash").alias("_hash"))
-    gone = small_side(met.distinct())
+    with measured_joins(docs.sparkSession):
+        gone = small_side(met.distinct())
     release(rows)
     release(labels)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

@@ -84,3 +84,22 @@ def test_finished_phases_are_let_go(spark, monkeypatch):
     monkeypatch.setattr(M, "free_shuffles", lambda s: (calls.append(1), free(s)))
     M._labelled(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"), "doc_id", "text")
     assert len(calls) >= 4
+
+
+def test_joins_go_by_measured_sizes(spark, monkeypatch):
+    """No estimate decides on a broadcast, as after an explode it is many times too low; the session's settings stay."""
+    from tallygrove import session
+
+    plans, key = {}, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+
+    def noted(df, tag, *more):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return session.materialize(df, tag, *more)
+
+    monkeypatch.setattr(M, "materialize", noted)
+    rows = [(i, f"one two three four five {'six' * (i % 3)} seven eight nine ten eleven twelve thirteen fourteen") for i in range(30)]
+    assert M.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() > 0
+    for tag in ("minhash-nodes", "minhash-buckets", "minhash-star", "minhash-wanted", "minhash-met", "minhash-across", "minhash-labels"):
+        assert "Join" in plans[tag] and "BroadcastHashJoin" not in plans[tag], tag
+    assert spark.conf.get(key) == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
