@@ -217,3 +217,25 @@ def test_shares_of_retrieval_tasks_are_bounded(spark, monkeypatch):
             assert spark.conf.get("spark.sql.shuffle.partitions") == before
     finally:
         spark.conf.unset(key)
+
+
+def test_jaccard_sets_go_once_for_a_block(spark, monkeypatch):
+    """Sets in several blocks and sketches of all widths, and one row of a set for its pairs in a block."""
+    from tallygrove.operators import sets
+    from tallygrove.operators import text as X
+
+    monkeypatch.setattr(sets, "BLOCK", 3000, raising=False), monkeypatch.setattr(sets, "PAIRS", 7, raising=False)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for n in (30, 300, 900):
+        base = rng.sample(words, n)
+        texts += [base[i * n // 25 :] for i in range(6)] + [base + [f"z{n}q{i}"] for i in range(4)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    found = {(r.a, r.b): r.jaccard for r in X.jaccard_pairs(df, "id", F.col("text")).collect()}
+    s = [frozenset(t) for t in texts]
+    want = {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a in range(len(s)) for b in range(a + 1, len(s))}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    got = X.jaccard_pairs(df, "id", F.col("text"))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
